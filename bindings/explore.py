@@ -132,8 +132,8 @@ BOX = """
 WITH q AS (SELECT {group} AS g, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS q2,
   quantile_cont({value}, 0.75) AS q3 FROM {table} WHERE {value} IS NOT NULL GROUP BY 1),
 f AS (SELECT *, q1 - (q3 - q1) * 1.5 AS lo, q3 + (q3 - q1) * 1.5 AS hi FROM q)
-SELECT {group}, count(*) AS postings, min({value}) AS min_value, round(min(q1), 4) AS q1, round(min(q2), 4) AS median,
-  round(min(q3), 4) AS q3, max({value}) AS max_value, round(min(lo), 4) AS lower_fence, round(min(hi), 4) AS upper_fence,
+SELECT {group}, count(*) AS postings, min({value}) AS min_value, round(min(q1), 6) AS q1, round(min(q2), 6) AS median,
+  round(min(q3), 6) AS q3, max({value}) AS max_value, round(min(lo), 6) AS lower_fence, round(min(hi), 6) AS upper_fence,
   min(CASE WHEN {value} BETWEEN lo AND hi THEN {value} END) AS whisker_low,
   max(CASE WHEN {value} BETWEEN lo AND hi THEN {value} END) AS whisker_high,
   count(*) FILTER ({value} NOT BETWEEN lo AND hi) AS outliers
@@ -144,13 +144,13 @@ ROUNDED = ("q1", "median", "q3", "lower_fence", "upper_fence")
 @query(BOX.format(group="c_mktsegment", value="c_acctbal", table="customer"))
 def box_stats(spark, sf_dir):
     stats = explore.box_stats(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
-    return stats.withColumns({name: F.round(name, 4) for name in ROUNDED})
+    return stats.withColumns({name: F.round(name, 6) for name in ROUNDED})
 
 
 @query(BOX.format(group="l_returnflag", value="l_extendedprice", table="lineitem"))
 def box_stats_lines(spark, sf_dir):
     stats = explore.box_stats(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
-    return stats.withColumns({name: F.round(name, 4) for name in ROUNDED})
+    return stats.withColumns({name: F.round(name, 6) for name in ROUNDED})
 
 
 @query("""SELECT o_orderkey, c_mktsegment, o_totalprice, c_acctbal, coalesce(CASE WHEN c_acctbal > 3000 THEN o_totalprice END, c_acctbal + 2) AS point_size

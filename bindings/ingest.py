@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import posting_documents, query, table
+from bindings.registry import query, table
 from hirelake.functions.text import text_of
 from hirelake.session import shared_folder
-from hirelake.sources.lake import explode_documents, field, has_field, read_lake
+from hirelake.sources.lake import explode_documents, field, field_sql, has_field, read_lake
 from hirelake.sources.payload import flatten_payload
 from hirelake.sources.sinks import append_raw_lake, export_csv, union_batches
 
@@ -59,7 +59,7 @@ def json_envelopes(spark, sf_dir):
             (F.col("_page") % 5 + 1).cast("int")),
         "entries", F.when(F.col("_page") % 5 == 0, "]").otherwise("]}")).alias("value"))
     records = explode_documents(documents)
-    return records.select(text_of(field("id")).cast("long").alias("event_id"), text_of(field("type")).alias("event_type"),
+    return records.select(text_of(field_sql("id")).cast("long").alias("event_id"), text_of(field_sql("type")).alias("event_type"),
                           F.try_variant_get(field("props"), "$.k", "string").alias("k"))
 
 
@@ -72,9 +72,9 @@ def csv_roundtrip(spark, sf_dir):
     export_csv(rows, path)
     records = read_lake(spark, path, "csv")
     return records.select(
-        text_of(field("key")).cast("long").alias("c_custkey"),
-        F.replace(text_of(field("name")), F.lit('a "quoted",\n'), F.lit("")).alias("c_name"),
-        text_of(field("c_mktsegment")).alias("c_mktsegment"))
+        text_of(field_sql("key")).cast("long").alias("c_custkey"),
+        F.replace(text_of(field_sql("name")), F.lit('a "quoted",\n'), F.lit("")).alias("c_name"),
+        text_of(field_sql("c_mktsegment")).alias("c_mktsegment"))
 
 
 @query("""SELECT event_id, event_type, value, CASE WHEN value > 10 THEN NULL ELSE 'x' END AS note, true AS has_note
@@ -87,7 +87,7 @@ def lines_roundtrip(spark, sf_dir):
     append_raw_lake(rows, path, "2026-01-02")
     records = read_lake(spark, path, "lines")
     return records.select(
-        text_of(field("event_id")).cast("long").alias("event_id"), text_of(field("event_type")).alias("event_type"),
+        text_of(field_sql("event_id")).cast("long").alias("event_id"), text_of(field_sql("event_type")).alias("event_type"),
         field("value").cast("double").alias("value"), field("note").cast("string").alias("note"),
         has_field("note").alias("has_note"))
 

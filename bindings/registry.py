@@ -75,7 +75,7 @@ FROM @orders JOIN @customer ON o_custkey = c_custkey JOIN @nation ON c_nationkey
 # The same posting as the JSON text a lake file would hold: odd key spelling, nested company, absent and null keys.
 POSTING_JSON_SQL = r"""
 SELECT *, '{"Title": "' || title || '", " COMPANY ": '
-  || CASE WHEN id % 3 = 0 THEN '{"display_name": "' || company || '"}' ELSE '"' || company || '"' END
+  || CASE WHEN id % 3 = 0 AND company <> '' THEN '{"display_name": "' || company || '"}' ELSE '"' || company || '"' END
   || ', "location": "' || place || '", "description": "' || description || '"'
   || CASE country_key WHEN 'absent' THEN '' WHEN 'null' THEN ', "country": null'
      ELSE ', "country": "' || country || '"' END
@@ -101,7 +101,7 @@ def posting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posting_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, ordinal, fields) as the lake reader gives them."""
     return posting_documents(spark, sf_dir).select(
-        F.lit("orders").alias("file"), F.col("id").alias("ordinal"), record_fields(F.col("doc")).alias("fields")
+        F.lit("orders").alias("file"), F.col("id").alias("ordinal"), record_fields("doc").alias("fields")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.registry import (
-    POSTING_SQL, duck_sql, posting_documents, posting_records, postings, query, rule_sql, table, term_sql, years_sql,
+    POSTING_SQL, duck_sql, posting_records, postings, query, rule_sql, table, term_sql, years_sql,
 )
 from hirelake import rules
 from hirelake.functions import enrich
@@ -14,9 +14,8 @@ from hirelake.operators.transform import (
     check_records, country_of, load_report, resolve_salary, tag_terms, whole_years,
 )
 from hirelake.rules import Term
-from hirelake.sources.lake import field, has_field, record_fields
+from hirelake.sources.lake import field_sql, has_field, record_fields
 from hirelake.sources.sinks import quarantine_counts
-from hirelake.session import settle
 
 RAW = "WITH raw AS (" + duck_sql(POSTING_SQL) + ")\n"
 LOW, HIGH = years_sql("description")
@@ -33,7 +32,7 @@ MODE = rule_sql("description", rules.MODE_RULES, rules.MODE_DEFAULT)
 
 @query(RAW + f"SELECT id, {YEARS_MIN} AS years_min, {YEARS_MAX} AS years_max FROM raw")
 def experience_years(spark, sf_dir):
-    years = enrich.years_range(F.col("description"), F.col("title"))
+    years = enrich.years_range("description", "title")
     return postings(spark, sf_dir).select("id", years.alias("y")).select(
         "id", F.col("y.min").alias("years_min"), F.col("y.max").alias("years_max"))
 
@@ -50,7 +49,7 @@ n AS (SELECT o_orderkey, list_transform(hits, lambda h: try_cast(replace(h, ',',
 SELECT o_orderkey, list_min(v) AS amount_min, list_max(v) AS amount_max,
   len(list_filter(v, lambda x: x IS NULL)) > 0 AS broken FROM n""")
 def salary_parse(spark, sf_dir):
-    parsed = amounts_in_text(F.expr(SALARY_TEXT)).alias("a")
+    parsed = amounts_in_text(SALARY_TEXT).alias("a")
     return table(spark, sf_dir, "orders").select("o_orderkey", parsed).select(
         "o_orderkey", F.col("a.min").alias("amount_min"), F.col("a.max").alias("amount_max"),
         F.col("a.bad").alias("broken"))
@@ -65,17 +64,17 @@ def salary_resolve(spark, sf_dir):
 @query(RAW + """SELECT id, CASE WHEN place <> '' THEN trim(string_split(place, ',')[1]) END AS city,
   CASE WHEN place <> '' THEN trim(string_split(place, ',')[2]) END AS region FROM raw""")
 def location_split(spark, sf_dir):
-    return postings(spark, sf_dir).select("id", split_place(F.col("place")).alias("p")).select("id", "p.city", "p.region")
+    return postings(spark, sf_dir).select("id", split_place("place").alias("p")).select("id", "p.city", "p.region")
 
 
 @query(RAW + f"SELECT id, {ROLE} AS job_category FROM raw")
 def role_category(spark, sf_dir):
-    return postings(spark, sf_dir).select("id", enrich.role_category(F.col("title")).alias("job_category"))
+    return postings(spark, sf_dir).select("id", enrich.role_category("title").alias("job_category"))
 
 
 @query(RAW + f"SELECT id, {MODE} AS is_remote FROM raw")
 def work_mode(spark, sf_dir):
-    return postings(spark, sf_dir).select("id", enrich.work_mode(F.col("description")).alias("is_remote"))
+    return postings(spark, sf_dir).select("id", enrich.work_mode("description").alias("is_remote"))
 
 
 @query(RAW + f""", c AS (SELECT id, cast(low AS double) AS lo, CASE WHEN salary_case > 0 THEN cast(high AS double) END AS hi,
@@ -84,8 +83,8 @@ r AS (SELECT *, {RATE} AS rate FROM c)
 SELECT id, currency, lo * rate AS min_usd, coalesce(hi, lo) * rate AS max_usd,
   (lo * rate + coalesce(hi, lo) * rate) / 2.0 AS mid_usd FROM r""")
 def currency_usd(spark, sf_dir):
-    high = F.when(F.col("salary_case") > 0, F.col("high").cast("double"))
-    usd = enrich.to_usd(F.col("low").cast("double"), high, F.col("country"))
+    high = "CASE WHEN salary_case > 0 THEN cast(high AS double) END"
+    usd = enrich.to_usd("cast(low AS double)", high, "country")
     return postings(spark, sf_dir).select("id", usd.alias("u")).select(
         "id", "u.currency", "u.min_usd", "u.max_usd", "u.mid_usd")
 
@@ -104,7 +103,7 @@ def _tag_sql(source: str, id_col: str, text: str, terms) -> str:
 
 @query(RAW + _tag_sql("(SELECT id, title || ' ' || description AS t FROM raw)", "id", "t", rules.default_terms()))
 def skill_tags(spark, sf_dir):
-    text = title_plus_description(F.col("title"), F.col("description"))
+    text = title_plus_description("title", "description")
     return tag_terms(postings(spark, sf_dir).select("id", text.alias("t")), "t", "id")
 
 
@@ -122,15 +121,15 @@ def document_terms(spark, sf_dir):
 @query("SELECT doc_id, source || ' ' || coalesce(text, '') AS text_features FROM documents")
 def text_features(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
-        "doc_id", title_plus_description(F.col("source"), F.col("text")).alias("text_features"))
+        "doc_id", title_plus_description("source", "text").alias("text_features"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, json_exists(props, '$.k') AS has_k,
   json_exists(props, '$.missing') AS has_missing FROM events""")
 def json_keys(spark, sf_dir):
     """Keys are folded, read back and tested for presence."""
-    rows = table(spark, sf_dir, "events").select("event_id", record_fields(F.col("props")).alias("fields"))
-    return rows.select("event_id", text_of(field("k")).alias("k"), has_field("k").alias("has_k"),
+    rows = table(spark, sf_dir, "events").select("event_id", record_fields("props").alias("fields"))
+    return rows.select("event_id", text_of(field_sql("k")).alias("k"), has_field("k").alias("has_k"),
                        has_field("missing").alias("has_missing"))
 
 
@@ -144,8 +143,8 @@ TEXT_CASES = """CASE c_custkey % 9 WHEN 0 THEN '{" V ": {"display_name": "", "na
   WHEN 3 THEN cast(c_custkey AS varchar) WHEN 4 THEN cast(c_custkey AS varchar) WHEN 5 THEN 'T' WHEN 6 THEN ''
   WHEN 7 THEN 'True' ELSE '{"other":1}' END AS v FROM customer""")
 def polymorphic_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", record_fields(F.expr(TEXT_CASES)).alias("fields"))
-    return rows.select("c_custkey", text_of(field("v")).alias("v"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", record_fields(TEXT_CASES).alias("fields"))
+    return rows.select("c_custkey", text_of(field_sql("v")).alias("v"))
 
 
 # ---- the whole chain --------------------------------------------------------------------------------------------------

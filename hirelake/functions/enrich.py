@@ -1,4 +1,7 @@
-"""Features read out of posting text: years of experience, ordered keyword rules, dictionary terms, USD amounts."""
+"""Features read out of posting text: years of experience, ordered keyword rules, dictionary terms, USD amounts.
+
+Arguments are SQL text, as in :mod:`hirelake.functions.text`.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelake import rules
-from hirelake.functions.text import SPACE, let, strip, to_number
+from hirelake.functions.text import SPACE, let_sql, number_sql, quoted, strip_sql
 
 # ---- fixed values: patterns for years of experience, tried in this order ------------------------------------------
 _NUMBER = r"\d+(?:\.\d+)?"
@@ -21,102 +24,92 @@ YEARS_LABEL = (rf"(?iU)(?:experience|exp)(?:{SPACE}*level)?{SPACE}*[:-]?{SPACE}*
 PLUS_SPAN = 4.0
 
 
-def years_range(text: Column, fallback: Column | None = None) -> Column:
+def _years_sql(text: str) -> str:
+    def found(pattern: str, low: str, high: str) -> str:
+        numbers = f"transform(regexp_extract_all(h, {quoted(f'(?U){_NUMBER}')}, 0), x -> {number_sql('x')})"
+        bounds = let_sql(numbers, "n", f"named_struct('min', {low}, 'max', {high})")
+        return let_sql(f"regexp_extract(t, {quoted(pattern)}, 0)", "h", f"CASE WHEN h <> '' THEN {bounds} END")
+
+    first, second = "get(n, 0)", "get(n, 1)"
+    tried = ", ".join((
+        found(YEARS_RANGE, first, second),
+        found(YEARS_PLUS, first, f"{first} + {PLUS_SPAN}D"),
+        found(YEARS_LABEL, first, first),
+    ))
+    with_digit = f"CASE WHEN rlike(t, {quoted(r'\p{Nd}')}) THEN coalesce({tried}) END"
+    return let_sql(f"translate({text}, '–—', '--')", "t", with_digit)
+
+
+def years_range(text: str, fallback: str | None = None) -> Column:
     """struct(min, max) years asked for in ``text``, else in ``fallback``; null when neither names any.
 
     'X - Y years' gives (X, Y), 'X+ years' gives (X, X + 4), 'experience: X' gives (X, X). Each pattern scans the
     text once; the numbers are then taken from the short hit. Texts without a digit are not scanned at all.
     """
-    def found(clean: Column, pattern: str, bounds) -> Column:
-        hit = F.regexp_extract(clean, pattern, 0)
-
-        def numbers(h: Column) -> Column:
-            return F.transform(F.regexp_extract_all(h, F.lit(f"(?U){_NUMBER}"), F.lit(0)), to_number)
+    return F.expr(_years_sql(text) if fallback is None else f"coalesce({_years_sql(text)}, {_years_sql(fallback)})")
 
-        return let(hit, lambda h: F.when(h != "", let(numbers(h), bounds)))
 
-    def pair(low: Column, high: Column) -> Column:
-        return F.struct(low.alias("min"), high.alias("max"))
+def first_rule_sql(text: str, ordered_rules, default: str, folded: bool = False) -> str:
+    lowered = text if folded else f"lower({text})"
+    cases = " ".join(
+        "WHEN " + " OR ".join(f"contains({lowered}, {quoted(word)})" for word in words) + f" THEN {quoted(label)}"
+        for label, words in ordered_rules
+    )
+    return f"CASE {cases} ELSE {quoted(default)} END" if cases else quoted(default)
 
-    def first_hit(clean: Column) -> Column:
-        return F.when(
-            clean.rlike(r"\p{Nd}"),
-            F.coalesce(
-                found(clean, YEARS_RANGE, lambda n: pair(F.get(n, F.lit(0)), F.get(n, F.lit(1)))),
-                found(clean, YEARS_PLUS, lambda n: pair(F.get(n, F.lit(0)), F.get(n, F.lit(0)) + PLUS_SPAN)),
-                found(clean, YEARS_LABEL, lambda n: pair(F.get(n, F.lit(0)), F.get(n, F.lit(0)))),
-            ),
-        )
 
-    def read(source: Column) -> Column:
-        return let(F.translate(source, "–—", "--"), first_hit)
-
-    return read(text) if fallback is None else F.coalesce(read(text), read(fallback))
-
-
-def first_rule(text: Column, ordered_rules, default: str, folded: bool = False) -> Column:
+def first_rule(text: str, ordered_rules, default: str, folded: bool = False) -> Column:
     """Label of the first rule with a keyword contained in the lower-cased text; ``default`` if none or blank.
 
-    Pass ``folded=True`` when the column is already lower-cased, so that the work is done once per row.
+    Pass ``folded=True`` when the text is already lower-cased, so that the work is done once per row.
     """
-    lowered = text if folded else F.lower(text)
-    chain = F
-    for label, keywords in ordered_rules:
-        hit = F.lit(False)
-        for keyword in keywords:
-            hit = hit | lowered.contains(keyword)
-        chain = chain.when(hit, F.lit(label))
-    return chain.otherwise(F.lit(default))
+    return F.expr(first_rule_sql(text, ordered_rules, default, folded))
 
 
-def role_category(title: Column, ordered_rules=rules.ROLE_RULES, folded: bool = False) -> Column:
+def role_category(title: str, ordered_rules=rules.ROLE_RULES, folded: bool = False) -> Column:
     return first_rule(title, ordered_rules, rules.ROLE_DEFAULT, folded)
 
 
-def work_mode(description: Column, ordered_rules=rules.MODE_RULES, folded: bool = False) -> Column:
+def work_mode(description: str, ordered_rules=rules.MODE_RULES, folded: bool = False) -> Column:
     return first_rule(description, ordered_rules, rules.MODE_DEFAULT, folded)
 
 
-def currency_of(country: Column, ordered_rules=rules.CURRENCY_RULES) -> Column:
-    return first_rule(strip(country), ordered_rules, rules.CURRENCY_DEFAULT)
+def currency_sql(country: str, ordered_rules=rules.CURRENCY_RULES) -> str:
+    chain = first_rule_sql("c", ordered_rules, rules.CURRENCY_DEFAULT, folded=True)
+    return let_sql(f"lower({strip_sql(country)})", "c", chain)
+
+
+def currency_of(country: str, ordered_rules=rules.CURRENCY_RULES) -> Column:
+    return F.expr(currency_sql(country, ordered_rules))
 
 
-def fold_case(text: Column) -> Column:
+def fold_case(text: str) -> Column:
     """Case-folded copy used as a cheap pre-test: if a term matches ignoring case, its folded form is contained."""
-    return F.lower(F.upper(text))
+    return F.expr(f"lower(upper({text}))")
 
 
-def term_hits(text: Column, folded: Column, terms=None) -> Column:
+def term_hits(text: str, folded: str, terms=None) -> Column:
     """array<struct(term, term_type)> of the dictionary terms that occur in ``text`` as whole words.
 
     ``folded`` is :func:`fold_case` of the same text. A plain substring test on it decides whether the regular
     expression has to run, so most of the dictionary costs one byte search per row.
     """
     terms = rules.default_terms() if terms is None else terms
-    hits = [
-        F.when(
-            folded.contains(term.stem.upper().lower()) & text.rlike(rules.whole_word(term.stem, term.ending)),
-            F.struct(F.lit(term.name).alias("term"), F.lit(term.kind).alias("term_type")),
-        )
+    hits = ", ".join(
+        f"CASE WHEN contains({folded}, {quoted(term.stem.upper().lower())})"
+        f" AND rlike({text}, {quoted(rules.whole_word(term.stem, term.ending))})"
+        f" THEN named_struct('term', {quoted(term.name)}, 'term_type', {quoted(term.kind)}) END"
         for term in terms
-    ]
-    return F.array_compact(F.array(*hits))
+    )
+    return F.expr(f"array_compact(array({hits}))")
 
 
-def to_usd(low: Column, high: Column, country: Column, rates=None, ordered_rules=rules.CURRENCY_RULES) -> Column:
+def to_usd(low: str, high: str, country: str, rates=None, ordered_rules=rules.CURRENCY_RULES) -> Column:
     """struct(min_usd, max_usd, mid_usd, currency); a missing side takes the other, the middle is not rounded."""
     rates = rules.USD_RATES if rates is None else rates
-    table = F.create_map(*[F.lit(item) for pair in rates.items() for item in pair])
-
-    def convert(currency: Column) -> Column:
-        rate = F.coalesce(F.try_element_at(table, currency), F.lit(1.0))
-        low_usd = F.coalesce(low, high) * rate
-        high_usd = F.coalesce(high, low) * rate
-        return F.struct(
-            low_usd.alias("min_usd"),
-            high_usd.alias("max_usd"),
-            ((low_usd + high_usd) / 2.0).alias("mid_usd"),
-            currency.alias("currency"),
-        )
-
-    return let(currency_of(country, ordered_rules), convert)
+    rate = "CASE c " + " ".join(f"WHEN {quoted(name)} THEN {value}D" for name, value in rates.items()) + " ELSE 1.0D END"
+    converted = let_sql(
+        f"named_struct('c', c, 'low', coalesce({low}, {high}) * {rate}, 'high', coalesce({high}, {low}) * {rate})", "u",
+        "named_struct('min_usd', u.low, 'max_usd', u.high, 'mid_usd', (u.low + u.high) / 2.0D, 'currency', u.c)",
+    )
+    return F.expr(let_sql(currency_sql(country, ordered_rules), "c", converted))

@@ -1,4 +1,9 @@
-"""Text, number and JSON-value helpers. Column in, Column out; everything stays in the JVM."""
+"""Text, number and JSON-value helpers.
+
+Arguments are SQL text: a column name, or any expression. The ``…_sql`` functions give SQL text back for composing,
+the others a Column. Building one expression text instead of hundreds of Column objects keeps planning short, and
+everything stays in the JVM.
+"""
 
 from __future__ import annotations
 
@@ -15,90 +20,97 @@ _DIGITS_FROM = "".join(_NON_ASCII_DIGITS)
 _DIGITS_TO = "".join(str(unicodedata.decimal(char)) for char in _NON_ASCII_DIGITS)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strip(text: Column) -> Column:
-    """Remove white space (all of Unicode's, not only blanks) at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+def let_sql(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def to_number(text: Column) -> Column:
-    """Decimal digits of any script to double; null if it is not a number."""
-    return F.translate(text, _DIGITS_FROM, _DIGITS_TO).try_cast("double")
+def strip_sql(text: str) -> str:
+    return f"regexp_replace({text}, {quoted(f'(?U)^{SPACE}+|{SPACE}+$')}, '')"
 
 
-def json_kind(value: Column) -> Column:
-    """Type name of a variant: VOID, BOOLEAN, STRING, BIGINT, DECIMAL(p,s), DOUBLE, ARRAY<..> or OBJECT<..>."""
-    return F.schema_of_variant(value)
+def strip(text: str) -> Column:
+    """Remove white space (all of Unicode's, not only blanks) at both ends."""
+    return F.expr(strip_sql(text))
+
+
+def number_sql(text: str) -> str:
+    """Decimal digits of any script to double; null if it is not a number."""
+    return f"try_cast(translate({text}, '{_DIGITS_FROM}', '{_DIGITS_TO}') AS double)"
 
 
-def is_numeric_kind(kind: Column) -> Column:
-    return kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+def numeric_kind_sql(kind: str) -> str:
+    return f"rlike({kind}, '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)')"
 
 
-def _member(value: Column, key: str) -> Column:
+def _member_sql(value: str, key: str) -> str:
     """Text of one object member, null when it is absent or empty (null, '', 0, false, [] or {})."""
-    def usable(item: Column) -> Column:
-        text = item.cast("string")
-        empty_value = text.isin("0", "0.0", "false", "[]", "{}") & (json_kind(item) != "STRING")
-        return F.when((text != "") & ~empty_value, text)
+    text = "cast(m AS string)"
+    empty_value = f"({text} IN ('0', '0.0', 'false', '[]', '{{}}') AND schema_of_variant(m) <> 'STRING')"
+    usable = f"CASE WHEN {text} <> '' AND NOT {empty_value} THEN {text} END"
+    return let_sql(f"try_variant_get({value}, '$.{key}', 'variant')", "m", usable)
 
-    return let(F.try_variant_get(value, f"$.{key}", "variant"), usable)
 
+def text_of_sql(value: str, keys=rules.TEXT_KEYS) -> str:
+    members = ", ".join(_member_sql("v", key) for key in keys)
+    text = f"""CASE WHEN k = 'STRING' THEN cast(v AS string)
+      WHEN startswith(k, 'OBJECT') THEN coalesce({members}, cast(v AS string))
+      WHEN k = 'BOOLEAN' THEN initcap(cast(v AS string)) ELSE cast(v AS string) END"""
+    by_kind = let_sql("schema_of_variant(v)", "k", text)
+    return strip_sql(f"coalesce({let_sql(value, 'v', by_kind)}, '')")
 
-def text_of(value: Column, keys=rules.TEXT_KEYS) -> Column:
+
+def text_of(value: str, keys=rules.TEXT_KEYS) -> Column:
     """Text of a variant: '' for null, a string as it is, the first usable member of an object, else its JSON form."""
-    kind = json_kind(value)
-    as_text = value.cast("string")
-    text = (
-        F.when(kind == "STRING", as_text)
-        .when(kind.startswith("OBJECT"), F.coalesce(*[_member(value, key) for key in keys], as_text))
-        .when(kind == "BOOLEAN", F.initcap(as_text))
-        .otherwise(as_text)
-    )
-    return strip(F.coalesce(text, F.lit("")))
+    return F.expr(text_of_sql(value, keys))
 
 
 # Fixed value: what counts as an amount inside a salary text.
 AMOUNT = r"(?U)[\d,]+(?:\.\d+)?"
 
 
-def _range_of(numbers: Column) -> Column:
-    return F.struct(
-        F.array_min(numbers).alias("min"),
-        F.array_max(numbers).alias("max"),
-        F.exists(numbers, lambda n: n.isNull()).alias("bad"),
+def amounts_in_text_sql(text: str) -> str:
+    hits = f"regexp_extract_all(coalesce({text}, ''), {quoted(AMOUNT)}, 0)"
+    number = number_sql("replace(h, ',', '')")
+    return let_sql(
+        f"transform({hits}, h -> {number})", "n",
+        "named_struct('min', array_min(n), 'max', array_max(n), 'bad', exists(n, x -> x IS NULL))",
     )
 
 
-def amounts_in_text(text: Column) -> Column:
+def amounts_in_text(text: str) -> Column:
     """struct(min, max, bad) over all amounts in a text; ``bad`` marks an amount that is no number (only commas)."""
-    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(AMOUNT), F.lit(0))
-    return let(F.transform(hits, lambda hit: to_number(F.replace(hit, F.lit(","), F.lit("")))), _range_of)
+    return F.expr(amounts_in_text_sql(text))
+
 
+def parse_amounts_sql(value: str) -> str:
+    number = f"""CASE WHEN {numeric_kind_sql('schema_of_variant(v)')} THEN try_cast(cast(v AS string) AS double)
+      WHEN schema_of_variant(v) = 'BOOLEAN' THEN if(cast(v AS string) = 'true', 1.0D, 0.0D) END"""
+    exact = "named_struct('min', e, 'max', e, 'bad', false)"
+    chosen = let_sql(number, "e", f"if(e IS NOT NULL, {exact}, {amounts_in_text_sql('cast(v AS string)')})")
+    return let_sql(value, "v", chosen)
 
-def parse_amounts(value: Column) -> Column:
+
+def parse_amounts(value: str) -> Column:
     """As :func:`amounts_in_text` for a variant: a number is its own range, anything else is read as text."""
-    kind = json_kind(value)
-    as_text = value.cast("string")
-    number = (
-        F.when(is_numeric_kind(kind), as_text.try_cast("double"))
-        .when(kind == "BOOLEAN", F.when(as_text == "true", 1.0).otherwise(0.0))
-    )
-    exact = F.struct(number.alias("min"), number.alias("max"), F.lit(False).alias("bad"))
-    return F.when(number.isNotNull(), exact).otherwise(amounts_in_text(as_text))
+    return F.expr(parse_amounts_sql(value))
+
 
+def split_place_sql(text: str) -> str:
+    pieces = let_sql(f"split({text}, ',')", "p", "named_struct('city', {}, 'region', {})".format(
+        strip_sql("get(p, 0)"), strip_sql("get(p, 1)")))
+    return f"CASE WHEN {text} <> '' THEN {pieces} END"
 
-def split_place(text: Column) -> Column:
-    """struct(city, region) from 'City, Region'; blank gives nulls, further parts are dropped."""
-    def parts(pieces: Column) -> Column:
-        return F.struct(strip(F.get(pieces, F.lit(0))).alias("city"), strip(F.get(pieces, F.lit(1))).alias("region"))
 
-    return let(F.when(text != "", F.split(text, ",")), parts)
+def split_place(text: str) -> Column:
+    """struct(city, region) from 'City, Region'; blank gives null, further parts are dropped."""
+    return F.expr(split_place_sql(text))
 
 
-def title_plus_description(title: Column, description: Column) -> Column:
-    return F.concat(title, F.lit(" "), F.coalesce(description, F.lit("")))
+def title_plus_description(title: str, description: str) -> Column:
+    return F.expr(f"concat({title}, ' ', coalesce({description}, ''))")

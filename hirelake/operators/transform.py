@@ -7,44 +7,40 @@ from pyspark.sql import functions as F
 
 from hirelake import rules
 from hirelake.functions import enrich
-from hirelake.functions.text import json_kind, let, parse_amounts, split_place, text_of, title_plus_description
+from hirelake.functions.text import (
+    let_sql, parse_amounts_sql, quoted, split_place_sql, text_of, text_of_sql, title_plus_description,
+)
 from hirelake.session import settle
-from hirelake.sources.lake import field, has_field
+from hirelake.sources.lake import field_sql, has_field_sql
 from hirelake.sources.star import MAX_DESCRIPTION_BYTES, MAX_LENGTH, MONEY, MONEY_USD
 
 
-def resolve_salary(fields: str | Column = "fields") -> Column:
+def resolve_salary(fields: str = "fields") -> Column:
     """struct(min, max, bad): the separate keys win if either is present, otherwise the combined text.
 
     Of a text under a separate key the smallest amount counts, also for the maximum; a missing side takes the other;
     min and max are never swapped.
     """
-    def sides(pair: Column) -> Column:
-        low, high = pair["low"], pair["high"]
-        return F.struct(
-            F.coalesce(low["min"], high["min"]).alias("min"),
-            F.coalesce(high["min"], low["min"]).alias("max"),
-            (low["bad"] | high["bad"]).alias("bad"),
-        )
-
-    separate = let(
-        F.struct(parse_amounts(field("salary_min", fields)).alias("low"),
-                 parse_amounts(field("salary_max", fields)).alias("high")),
-        sides,
-    )
-    return F.when(
-        has_field("salary_min", fields) | has_field("salary_max", fields), separate
-    ).otherwise(parse_amounts(field("salary", fields)))
+    low, high, both = (parse_amounts_sql(field_sql(name, fields)) for name in ("salary_min", "salary_max", "salary"))
+    separate = let_sql(f"named_struct('low', {low}, 'high', {high})", "s", """named_struct(
+      'min', coalesce(s.low.min, s.high.min), 'max', coalesce(s.high.min, s.low.min), 'bad', s.low.bad OR s.high.bad)""")
+    either = f"{has_field_sql('salary_min', fields)} OR {has_field_sql('salary_max', fields)}"
+    return F.expr(f"CASE WHEN {either} THEN {separate} ELSE {both} END")
 
 
-def country_of(fields: str | Column = "fields", default: str = rules.DEFAULT_COUNTRY) -> Column:
+def country_of(fields: str = "fields", default: str = rules.DEFAULT_COUNTRY) -> Column:
     """The country as given, untrimmed; only an absent key takes the default."""
-    return F.when(has_field("country", fields), field("country", fields).cast("string")).otherwise(default)
+    return _given_or("country", default, fields)
 
 
-def plain_text_of(name: str, fields: str | Column = "fields") -> Column:
+def plain_text_of(name: str, fields: str = "fields") -> Column:
     """Text under a key as it is: '' when the key is absent, null when the value is null."""
-    return F.when(has_field(name, fields), field(name, fields).cast("string")).otherwise("")
+    return _given_or(name, "", fields)
+
+
+def _given_or(name: str, default: str, fields: str) -> Column:
+    return F.expr(f"CASE WHEN {has_field_sql(name, fields)} THEN cast({field_sql(name, fields)} AS string) "
+                  f"ELSE {quoted(default)} END")
 
 
 def whole_years(years: Column) -> Column:
@@ -52,48 +48,53 @@ def whole_years(years: Column) -> Column:
     return F.bround(years, 0).try_cast("int")
 
 
+def evaluate(df: DataFrame, keep, columns: dict[str, Column]) -> DataFrame:
+    """``keep`` plus ``columns``, computed once per row whatever is selected or filtered above.
+
+    In a plain projection the optimizer copies an expression to each place that refers to it; parsing and regular
+    expressions would run several times per row. A generator is a boundary it does not copy across.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*keep, F.inline_outer(F.array(row)))
+
+
 def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=rules.MODE_RULES,
                   currency_rules=rules.CURRENCY_RULES, rates=None, terms=None) -> DataFrame:
     """One row per record with all derived columns and ``reason`` (null for a good row).
 
-    Three projections without a shuffle: read the fields once, derive features, then test what the store takes.
+    No shuffle: the fields are read, features derived, then it is tested what the store takes. Each step is evaluated
+    once per row; a filter on the result is not pushed into it (see :func:`evaluate`).
     """
-    country_item = field("country")
-    read = records.select(
-        "file", "ordinal",
-        F.col("fields").isNull().alias("_unreadable"),
-        text_of(field("title")).alias("title"),
-        text_of(field("company")).alias("company"),
-        split_place(text_of(field("location"))).alias("_place"),
-        text_of(field("description")).alias("description"),
-        country_of().alias("country"),
-        (~json_kind(country_item).isin("STRING", "VOID")).alias("_country_not_text"),
-        plain_text_of("source_url").alias("source_url"),
-        resolve_salary().alias("_salary"),
-    )
-    read = read.select(
-        "*",
-        title_plus_description(F.col("title"), F.col("description")).alias("_text"),
-        F.lower("title").alias("_title"),
-        F.lower("description").alias("_description"),
-    ).withColumn("_folded", enrich.fold_case(F.col("_text")))
-
+    taken = evaluate(records, ["file", "ordinal"], {
+        "_unreadable": F.col("fields").isNull(),
+        "title": text_of(field_sql("title")),
+        "company": text_of(field_sql("company")),
+        "_place": F.expr(let_sql(text_of_sql(field_sql("location")), "place", split_place_sql("place"))),
+        "description": text_of(field_sql("description")),
+        "country": country_of(),
+        "_country_not_text": F.expr(f"schema_of_variant({field_sql('country')}) NOT IN ('STRING', 'VOID')"),
+        "source_url": plain_text_of("source_url"),
+        "_salary": resolve_salary(),
+    })
+    texts = evaluate(taken, taken.columns, {
+        "_text": title_plus_description("title", "description"),
+        "_title": F.lower("title"),
+        "_description": F.lower("description"),
+    })
     salary = F.col("_salary")
-    derived = read.select(
-        "file", "ordinal", "_unreadable", "_country_not_text", "_salary",
-        "title", "description", "country", "source_url",
+    derived = evaluate(texts, [name for name in texts.columns if name not in ("_title", "_description")], {
+        "_years": enrich.years_range("description", "title"),
+        "job_category": enrich.role_category("_title", role_rules, folded=True),
+        "is_remote": enrich.work_mode("_description", mode_rules, folded=True),
+        "_usd": enrich.to_usd("_salary.min", "_salary.max", "country", rates, currency_rules),
+        "_folded": enrich.fold_case("_text"),
+    })
+    shaped = derived.select(
+        "file", "ordinal", "title", "description",
         F.when(F.col("company") == "", rules.DEFAULT_COMPANY).otherwise(F.col("company")).alias("company_name"),
         F.col("_place.city").alias("city"),
         F.col("_place.region").alias("region"),
-        enrich.years_range(F.col("description"), F.col("title")).alias("_years"),
-        enrich.role_category(F.col("_title"), role_rules, folded=True).alias("job_category"),
-        enrich.work_mode(F.col("_description"), mode_rules, folded=True).alias("is_remote"),
-        enrich.to_usd(salary["min"], salary["max"], F.col("country"), rates, currency_rules).alias("_usd"),
-        enrich.term_hits(F.col("_text"), F.col("_folded"), terms).alias("terms"),
-    )
-
-    shaped = derived.select(
-        "file", "ordinal", "title", "description", "company_name", "city", "region", "country", "source_url",
+        "country", "source_url",
         salary["min"].try_cast(MONEY).alias("salary_min"),
         salary["max"].try_cast(MONEY).alias("salary_max"),
         whole_years(F.col("_years.min")).alias("experience_min"),
@@ -103,7 +104,8 @@ def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=ru
         F.col("_usd.min_usd").try_cast(MONEY_USD).alias("salary_min_usd"),
         F.col("_usd.max_usd").try_cast(MONEY_USD).alias("salary_max_usd"),
         F.col("_usd.mid_usd").try_cast(MONEY_USD).alias("salary_mid_usd"),
-        "terms", "_unreadable", "_country_not_text", "_salary", "_usd", "_years",
+        enrich.term_hits("_text", "_folded", terms).alias("terms"),
+        "_unreadable", "_country_not_text", "_salary", "_usd", "_years",
     )
 
     def lost(stored: str, source: str) -> Column:
@@ -153,9 +155,8 @@ def load_report(checked: DataFrame) -> DataFrame:
 
 def tag_terms(df: DataFrame, text_col: str, id_col: str, terms=None) -> DataFrame:
     """(id, term, term_type): one row per dictionary term found in a text, each at most once per row."""
-    text = F.col(text_col)
-    folded = df.select(id_col, text.alias("_text"), enrich.fold_case(text).alias("_folded"))
-    return explode_terms(folded.select(id_col, enrich.term_hits(F.col("_text"), F.col("_folded"), terms).alias("_t")),
+    folded = df.select(id_col, F.col(text_col).alias("_text"), enrich.fold_case(text_col).alias("_folded"))
+    return explode_terms(folded.select(id_col, enrich.term_hits("_text", "_folded", terms).alias("_t")),
                          "_t", id_col)
 
 

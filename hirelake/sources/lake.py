@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake import rules
-from hirelake.functions.text import strip
+from hirelake.functions.text import quoted, strip, strip_sql
 
 RECORD_COLUMNS = ("file", "ordinal", "fields")
 
@@ -16,23 +16,28 @@ def format_of(path: str) -> str:
     return "json" if path.lower().endswith(".json") else "csv"
 
 
-def field(name: str, fields: str | Column = "fields") -> Column:
+def field_sql(name: str, fields: str = "fields") -> str:
+    return f"try_element_at(filter({fields}, e -> e.key = {quoted(name)}), -1).value"
+
+
+def has_field_sql(name: str, fields: str = "fields") -> str:
+    return f"exists({fields}, e -> e.key = {quoted(name)})"
+
+
+def field(name: str, fields: str = "fields") -> Column:
     """Value (variant) of a folded key; of several keys that fold to the same name the last one counts."""
-    entries = F.col(fields) if isinstance(fields, str) else fields
-    return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
+    return F.expr(field_sql(name, fields))
 
 
-def has_field(name: str, fields: str | Column = "fields") -> Column:
-    entries = F.col(fields) if isinstance(fields, str) else fields
-    return F.exists(entries, lambda e: e["key"] == name)
+def has_field(name: str, fields: str = "fields") -> Column:
+    return F.expr(has_field_sql(name, fields))
 
 
-def record_fields(record_json: Column) -> Column:
+def record_fields(record_json: str) -> Column:
     """array<struct(key, value)> of one JSON object with trimmed, lower-cased keys; null if it is no object."""
-    entries = F.map_entries(F.from_json(record_json, "map<string,variant>"))
-    return F.transform(
-        entries, lambda e: F.struct(F.lower(strip(e["key"])).alias("key"), e["value"].alias("value"))
-    )
+    key = f"lower({strip_sql('e.key')})"
+    return F.expr(f"transform(map_entries(from_json({record_json}, 'map<string,variant>')), "
+                  f"e -> named_struct('key', {key}, 'value', e.value))")
 
 
 def document_records(document: Column, envelope_keys=rules.ENVELOPE_KEYS) -> Column:
@@ -54,16 +59,16 @@ def explode_documents(df: DataFrame, document: str = "value", file: str = "file"
     listed = df.select(F.col(file).alias("file"), document_records(F.col(document), envelope_keys).alias("records"))
     exploded = listed.select("file", F.posexplode_outer("records").alias("ordinal", "record"))
     return exploded.filter(F.col("ordinal").isNotNull()).select(
-        "file", F.col("ordinal").cast("long").alias("ordinal"), record_fields(F.col("record")).alias("fields")
+        "file", F.col("ordinal").cast("long").alias("ordinal"), record_fields("record").alias("fields")
     )
 
 
 def line_records(df: DataFrame, line: str = "value", file: str = "file") -> DataFrame:
     """(file, ordinal, fields) for JSON Lines; ``ordinal`` rises within a file but is not dense."""
-    return df.filter(strip(F.col(line)) != "").select(
+    return df.filter(strip(line) != "").select(
         F.col(file).alias("file"),
         F.monotonically_increasing_id().alias("ordinal"),
-        record_fields(F.col(line)).alias("fields"),
+        record_fields(line).alias("fields"),
     )
 
 
@@ -71,7 +76,7 @@ def csv_records(df: DataFrame, names, file: str = "file") -> DataFrame:
     """(file, ordinal, fields) for CSV rows: every value is text, an empty cell is an empty text."""
     fields = F.array(*[
         F.struct(
-            F.lower(strip(F.lit(name))).alias("key"),
+            F.lower(strip(quoted(name))).alias("key"),
             F.coalesce(F.col(f"`{name}`"), F.lit("")).cast("variant").alias("value"),
         )
         for name in names

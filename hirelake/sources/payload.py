@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import rules
-from hirelake.functions.text import is_numeric_kind, json_kind, let, strip
+from hirelake.functions.text import numeric_kind_sql, quoted, strip
 
 
 def market_country(code: Column) -> Column:
@@ -41,15 +41,22 @@ def parse_results(payload: Column) -> Column:
     return F.from_json(payload, "results array<string>")["results"]
 
 
-def _text_with_default(container: Column, path: str, default: str):
-    """(value, broken): the default only replaces an absent member; an explicit null or a non-text is broken."""
-    item = F.try_variant_get(container, path, "variant")
-    absent = item.isNull()
-    kind = json_kind(item)
-    return (
-        F.when(absent, default).otherwise(item.cast("string")),
-        ~absent & (kind != "STRING"),
-    )
+def _text_or(path: str, default: str) -> Column:
+    """Text of a member of ``_job``; the default replaces only an absent member."""
+    item = f"try_variant_get(_job, {quoted(path)}, 'variant')"
+    return F.expr(f"CASE WHEN {item} IS NULL THEN {quoted(default)} ELSE cast({item} AS string) END")
+
+
+def _broken_sql(path: str, kind: str) -> str:
+    """Is the member present, but not of ``kind`` (an explicit null included)?"""
+    item = f"try_variant_get(_job, {quoted(path)}, 'variant')"
+    return f"({item} IS NOT NULL AND NOT startswith(schema_of_variant({item}), '{kind}'))"
+
+
+def _amount(path: str) -> Column:
+    item = f"try_variant_get(_job, {quoted(path)}, 'variant')"
+    kind = f"schema_of_variant({item})"
+    return F.expr(f"CASE WHEN {numeric_kind_sql(kind)} OR {kind} = 'STRING' THEN cast({item} AS string) END")
 
 
 def flatten_payload(df: DataFrame, payload_col: str, market_col: str, batch_ts: Column):
@@ -60,46 +67,35 @@ def flatten_payload(df: DataFrame, payload_col: str, market_col: str, batch_ts:
     entries = F.posexplode_outer(parse_results(F.col(payload_col))).alias("_place", "_text")
     jobs = df.select(F.col(market_col).alias("_market"), entries).filter(F.col("_place").isNotNull())
     jobs = jobs.select("_market", "_text", F.try_parse_json("_text").alias("_job"))
-    job = F.col("_job")
-
-    title, bad_title = _text_with_default(job, "$.title", rules.MISSING)
-    company, bad_company = _text_with_default(job, "$.company.display_name", rules.MISSING)
-    description, bad_description = _text_with_default(job, "$.description", rules.MISSING_DESCRIPTION)
-
-    def present_but_no_object(path: str) -> Column:
-        item = F.try_variant_get(job, path, "variant")
-        return item.isNotNull() & ~json_kind(item).startswith("OBJECT")
-
-    areas = F.try_variant_get(job, "$.location.area", "array<string>")
-    area_item = F.try_variant_get(job, "$.location.area", "variant")
-    bad_area = area_item.isNotNull() & ~json_kind(area_item).startswith("ARRAY") & (json_kind(area_item) != "VOID")
-    place = F.coalesce(
-        F.when(F.size(areas) > 0, F.try_element_at(areas, F.lit(-1))), F.lit(rules.MISSING)
-    )
-
-    def amount(path: str) -> Column:
-        item = F.try_variant_get(job, path, "variant")
-        return F.when(is_numeric_kind(json_kind(item)) | (json_kind(item) == "STRING"), item.cast("string"))
-
-    url = F.try_variant_get(job, "$.redirect_url", "variant")
-    broken = (
-        job.isNull() | ~json_kind(job).startswith("OBJECT")
-        | present_but_no_object("$.company") | present_but_no_object("$.location")
-        | bad_title | bad_company | bad_description | bad_area
+    broken = " OR ".join((
+        "_job IS NULL", "NOT startswith(schema_of_variant(_job), 'OBJECT')",
+        _broken_sql("$.title", "STRING"), _broken_sql("$.description", "STRING"),
+        _broken_sql("$.company", "OBJECT"), _broken_sql("$.company.display_name", "STRING"),
+        _broken_sql("$.location", "OBJECT"),
+        f"({_broken_sql('$.location.area', 'ARRAY')} AND {_broken_sql('$.location.area', 'VOID')})",
+    ))
+    areas = "try_variant_get(_job, '$.location.area', 'array<string>')"
+    members = jobs.select(
+        "_market", F.col("_text").alias("_raw"),
+        F.expr(f"coalesce({broken}, true)").alias("_broken"),
+        _text_or("$.title", rules.MISSING).alias("title"),
+        _text_or("$.company.display_name", rules.MISSING).alias("company"),
+        F.expr(f"coalesce(try_element_at({areas}, -1), {quoted(rules.MISSING)})").alias("location"),
+        _text_or("$.description", rules.MISSING_DESCRIPTION).alias("description"),
+        _amount("$.salary_min").alias("_low"), _amount("$.salary_max").alias("_high"),
+        _text_or("$.redirect_url", "").alias("source_url"),
     )
-    flat = jobs.select(
-        F.coalesce(broken, F.lit(True)).alias("_broken"),
-        F.col("_text").alias("_raw"),
-        strip(title).alias("title"),
-        strip(company).alias("company"),
-        place.alias("location"),
+    flat = members.select(
+        "_broken", "_raw",
+        strip("title").alias("title"),
+        strip("company").alias("company"),
+        "location",
         market_country(F.col("_market")).alias("country"),
-        strip(description).alias("description"),
-        let(F.struct(amount("$.salary_min").alias("a"), amount("$.salary_max").alias("b")),
-            lambda s: salary_display(s["a"], s["b"])).alias("salary"),
-        amount("$.salary_min").try_cast("double").alias("salary_min"),
-        amount("$.salary_max").try_cast("double").alias("salary_max"),
-        F.when(url.isNull(), "").otherwise(url.cast("string")).alias("source_url"),
+        strip("description").alias("description"),
+        salary_display(F.col("_low"), F.col("_high")).alias("salary"),
+        F.col("_low").try_cast("double").alias("salary_min"),
+        F.col("_high").try_cast("double").alias("salary_max"),
+        "source_url",
         scrape_stamp(batch_ts).alias("scraped_at"),
     )
     good = flat.filter(~F.col("_broken")).drop("_broken", "_raw")
