@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelake.session import spread
 from hirelake.sources.lake import record_fields
 
 REGISTRY: dict[str, tuple] = {}
@@ -91,11 +92,11 @@ FROM (""" + POSTING_SQL + ") raw"
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_sql(spark, sf_dir, POSTING_SQL)
+    return spread(spark_sql(spark, sf_dir, POSTING_SQL))
 
 
 def posting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_sql(spark, sf_dir, POSTING_JSON_SQL)
+    return spread(spark_sql(spark, sf_dir, POSTING_JSON_SQL))
 
 
 def posting_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,11 +159,13 @@ def star_keys(spark, sf_dir):
         "first_job_id", "last_job_id", "distinct_job_ids")
 
 
-@query(CHECKED + """, g AS (SELECT job_category, country, city, count(*) AS n, avg(salary_mid_usd) AS a
-  FROM checked WHERE reason IS NULL AND city IS NOT NULL AND salary_mid_usd IS NOT NULL GROUP BY ALL)
+# The average is rounded half up on whole cents, because DuckDB averages decimals as doubles and loses exact ties.
+@query(CHECKED + """, s AS (SELECT job_category, country, city, count(*) AS n, cast(sum(salary_mid_usd) * 100 AS bigint) AS c
+  FROM checked WHERE reason IS NULL AND city IS NOT NULL AND salary_mid_usd IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, (2 * c + n) // (2 * n) AS cents FROM s)
 SELECT job_category AS "Job Category", country AS "Country", city AS "City", n AS "Postings Count",
-  '$' || format('{:,.2f}', round(a, 2)) AS "Average Midpoint Salary (USD)",
-  cast(dense_rank() OVER (PARTITION BY job_category, country ORDER BY round(a, 2) DESC) AS int) AS "Salary Rank" FROM g""")
+  '$' || format('{:,.2f}', cents / 100.0) AS "Average Midpoint Salary (USD)",
+  cast(dense_rank() OVER (PARTITION BY job_category, country ORDER BY cents DESC) AS int) AS "Salary Rank" FROM g""")
 def star_location_salary_rank(spark, sf_dir):
     return star_reports.location_salary_rank(loaded_star(spark, sf_dir))
 

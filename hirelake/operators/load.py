@@ -45,7 +45,6 @@ def load_star(checked: DataFrame, star: Star, load_date: dt.date, load_id: str |
     first and postings last, so an interrupted load leaves no posting with a dangling key.
     """
     spark = star.spark
-    star.create()
     load_id = load_id or uuid.uuid4().hex
 
     stage = shared_folder(spark, "stage")

@@ -48,6 +48,16 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/hirelake/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when ``df`` reads fewer files than there are cores; otherwise unchanged.
+
+    For row work that is heavy on CPU (parsing, regular expressions) over an input too small to give every core a
+    split. A large input already has more splits than cores and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives executor loss."""
     path = shared_folder(df.sparkSession, label)
