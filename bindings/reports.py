@@ -52,16 +52,15 @@ r AS (SELECT *, cast(row_number() OVER (PARTITION BY o_orderpriority, l_returnfl
   ORDER BY frequency DESC, p_name) AS int) AS item_rank FROM f)
 SELECT * FROM r WHERE item_rank <= 5""")
 def top5_per_group(spark, sf_dir):
-    """Counted by part key first, so the part table meets combined rows."""
+    """Names are attached before counting: they repeat, so the combined rows are far fewer than by part key."""
     orders = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isNotNull()).select(
         "o_orderkey", "o_orderpriority")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    counted = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
-        "o_orderpriority", "l_returnflag", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    named = counted.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(
-        "o_orderpriority", "l_returnflag", "p_name").agg(F.sum("n").alias("frequency"))
-    return reports.top_n_per_group(named, ["o_orderpriority", "l_returnflag"], "p_name", 5)
+    named = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        parts, F.col("l_partkey") == F.col("p_partkey"))
+    counts = reports.count_items(named, ["o_orderpriority", "l_returnflag"], "p_name")
+    return reports.top_n_per_group(counts, ["o_orderpriority", "l_returnflag"], "p_name", 5)
 
 
 MATRIX_SQL = """

@@ -6,10 +6,10 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.operators.quantiles import exact_quantiles, value_counts
+from hirelake.operators.quantiles import quantiles_of_counts, value_counts
+from hirelake.session import settle
 
 ALL = "All"
 LEVELS = ("entry", "mid", "senior")
@@ -90,10 +90,11 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 def box_stats(df: DataFrame, group: str, value: str, method: str = "continuous") -> DataFrame:
     """Exact quartiles, fences at 1.5 interquartile ranges, whisker ends and outlier counts per group.
 
-    Works on the distinct values of each group with their counts, see :func:`exact_quantiles`.
+    The rows are read once and combined to the distinct values of each group with their counts; the rest works on
+    those, see :func:`quantiles_of_counts`.
     """
-    counts = value_counts(df, value, [group])
-    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], [group], method=method).select(
+    counts = settle(value_counts(df, value, [group]), "values")
+    quartiles = quantiles_of_counts(counts, value, [0.25, 0.5, 0.75], [group], method=method).select(
         group, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
     spread = (F.col("q3") - F.col("q1")) * 1.5

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hirelake.session import settle
+
 CUTS = 64
 METHODS = ("continuous", "midpoint")
 
@@ -26,11 +28,17 @@ def exact_quantiles(df: DataFrame, value: str, probabilities, by, method: str =
     ``continuous`` interpolates at rank (n - 1)·p, the usual definition; ``midpoint`` at rank n·p - 0.5, which the
     box plots of plotting libraries use. ``by`` names at least one column.
     """
+    return quantiles_of_counts(settle(value_counts(df, value, by), "values"), value, probabilities, by, method, cuts)
+
+
+def quantiles_of_counts(counted: DataFrame, value: str, probabilities, by, method: str = "continuous",
+                        cuts: int = CUTS) -> DataFrame:
+    """:func:`exact_quantiles` from :func:`value_counts`. The counts are read several times, so settle them first."""
     if method not in METHODS:
         raise ValueError(f"unknown quantile method {method!r}")
     by = list(by)
     keys = [f"_k{i}" for i in range(len(by))]
-    counts = value_counts(df, value, by).select(
+    counts = counted.select(
         *[F.col(name).alias(key) for name, key in zip(by, keys)], F.col(value).cast("double").alias("_x"), "_n"
     )
 
@@ -44,7 +52,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities, by, method: str =
     groups = counts.groupBy(*keys).agg(
         F.percentile_approx("_x", steps, F.lit(100 * cuts)).alias("_cuts"), F.sum("_n").alias("_total")
     )
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_x")))
+    below = F.expr(" + ".join(f"cast(get(_cuts, {i}) < _x AS int)" for i in range(cuts - 1)))
     binned = counts.alias("c").join(groups.alias("g"), same_group("c", "g")).select(
         *[F.col(f"c.{key}") for key in keys], "_x", "_n", "_total", below.alias("_bin")
     )
