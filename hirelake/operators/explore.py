@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.operators.quantiles import quantiles_of_counts, value_counts
+from hirelake.operators.quantiles import exact_quantiles, with_group_values
 from hirelake.session import settle
 
 ALL = "All"
@@ -88,30 +88,24 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 
 
 def box_stats(df: DataFrame, group: str, value: str, method: str = "continuous") -> DataFrame:
-    """Exact quartiles, fences at 1.5 interquartile ranges, whisker ends and outlier counts per group.
-
-    The rows are read once and combined to the distinct values of each group with their counts; the rest works on
-    those, see :func:`quantiles_of_counts`.
-    """
-    counts = settle(value_counts(df, value, [group]), "values")
-    quartiles = quantiles_of_counts(counts, value, [0.25, 0.5, 0.75], [group], method=method).select(
+    """Exact quartiles, fences at 1.5 interquartile ranges, whisker ends and outlier counts per group."""
+    quartiles = settle(exact_quantiles(df, value, [0.25, 0.5, 0.75], [group], method=method).select(
         group, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
+    ), "quartiles")
     spread = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumn("lower_fence", F.col("q1") - spread).withColumn("upper_fence", F.col("q3") + spread)
-    x, n = F.col(value).cast("double"), F.col("_n")
+    x = F.col("_x")
     inside = x.between(F.col("lower_fence"), F.col("upper_fence"))
-    named = fences.withColumnRenamed(group, "_group")
-    joined = counts.join(named, F.col(group).eqNullSafe(F.col("_group"))).groupBy(group).agg(
-        F.sum(n).alias("postings"),
+    rows = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_x"))
+    return with_group_values(rows, [group], fences, quartiles.count()).groupBy(group).agg(
+        F.count(F.lit(1)).alias("postings"),
         F.min(x).alias("min_value"),
         *[F.first(name).alias(name) for name in ("q1", "median", "q3", "lower_fence", "upper_fence")],
         F.max(x).alias("max_value"),
         F.min(F.when(inside, x)).alias("whisker_low"),
         F.max(F.when(inside, x)).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(n)).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
-    return joined
 
 
 def scatter_points(df: DataFrame, years: str = "experience_min", years_max: str = "experience_max",

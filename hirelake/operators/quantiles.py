@@ -1,7 +1,7 @@
-"""Exact quantiles without holding a group in one task.
+"""Exact quantiles per group without sorting or holding a group in one task.
 
-A group's rows are first combined to distinct values with counts. A bounded sketch then cuts each group's distinct
-values into bins of about equal size; bin totals tell in which bin a wanted rank lies, and only those bins are sorted.
+A mergeable sketch of bounded size brackets each wanted quantile of each group. One pass counts the rows below and
+inside the brackets; only the distinct values inside, well under one percent of a group per quantile, are sorted.
 """
 
 from __future__ import annotations
@@ -10,98 +10,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.session import settle
+from hirelake.session import broadcast_counted, settle
 
-CUTS = 64
+ACCURACY = 1000
+MARGIN = 3.0 / ACCURACY
 METHODS = ("continuous", "midpoint")
 
 
-def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
-    """(by…, value, _n): distinct non-null values with their number of rows, combined map-side."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+def with_group_values(df: DataFrame, by, per_group: DataFrame, groups: int) -> DataFrame:
+    """``df`` with the columns of its group's row in ``per_group``; null groups match. ``groups`` is the row count of
+    ``per_group`` and decides whether it may be broadcast."""
+    names = {name: f"_of_{name}" for name in by}
+    side = broadcast_counted(per_group.withColumnsRenamed(names), groups)
+    same = F.lit(True)
+    for name in by:
+        same = same & F.col(name).eqNullSafe(F.col(names[name]))
+    return df.join(side, same).drop(*names.values())
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities, by, method: str = "continuous",
-                    cuts: int = CUTS) -> DataFrame:
-    """(by…, q0, q1, …) as doubles, one column per probability.
+def exact_quantiles(df: DataFrame, value: str, probabilities, by, method: str = "continuous") -> DataFrame:
+    """(by…, q0, q1, …) as doubles, one column per probability; null values are not counted.
 
     ``continuous`` interpolates at rank (n - 1)·p, the usual definition; ``midpoint`` at rank n·p - 0.5, which the
-    box plots of plotting libraries use. ``by`` names at least one column.
+    box plots of plotting libraries use. ``by`` names at least one column. A bracket that turns out not to hold its
+    ranks (tiny groups, or a sketch off by more than its bound) is widened to the whole group, so the result is exact.
     """
-    return quantiles_of_counts(settle(value_counts(df, value, by), "values"), value, probabilities, by, method, cuts)
-
-
-def quantiles_of_counts(counted: DataFrame, value: str, probabilities, by, method: str = "continuous",
-                        cuts: int = CUTS) -> DataFrame:
-    """:func:`exact_quantiles` from :func:`value_counts`. The counts are read several times, so settle them first."""
     if method not in METHODS:
         raise ValueError(f"unknown quantile method {method!r}")
-    by = list(by)
-    keys = [f"_k{i}" for i in range(len(by))]
-    counts = counted.select(
-        *[F.col(name).alias(key) for name, key in zip(by, keys)], F.col(value).cast("double").alias("_x"), "_n"
-    )
-
-    def same_group(left: str, right: str):
-        same = F.lit(True)
-        for key in keys:
-            same = same & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-        return same
-
-    steps = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    groups = counts.groupBy(*keys).agg(
-        F.percentile_approx("_x", steps, F.lit(100 * cuts)).alias("_cuts"), F.sum("_n").alias("_total")
-    )
-    below = F.expr(" + ".join(f"cast(get(_cuts, {i}) < _x AS int)" for i in range(cuts - 1)))
-    binned = counts.alias("c").join(groups.alias("g"), same_group("c", "g")).select(
-        *[F.col(f"c.{key}") for key in keys], "_x", "_n", "_total", below.alias("_bin")
+    by, probabilities = list(by), list(probabilities)
+    each = range(len(probabilities))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+
+    # Pass 1: one bracket per group and probability.
+    ends = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-MARGIN, MARGIN)]
+    sketch = rows.groupBy(*by).agg(
+        F.percentile_approx("_x", F.array(*[F.lit(p) for p in ends]), F.lit(ACCURACY)).alias("_ends"),
+        F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.count(F.lit(1)).alias("_total"),
     )
-
-    # One row per group and bin: at most ``cuts`` rows in each window partition.
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_size"), F.first("_total").alias("_total"))
-    before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    brackets = settle(sketch.select(
+        *by, "_min", "_max", "_total",
+        *[F.get("_ends", F.lit(2 * i)).alias(f"_lo{i}") for i in each],
+        *[F.get("_ends", F.lit(2 * i + 1)).alias(f"_hi{i}") for i in each],
+    ), "brackets")
+    groups = brackets.count()
 
     def rank_of(p: float):
-        exact = (F.col("_total") - 1) * F.lit(p) if method == "continuous" else F.col("_total") * F.lit(p) - 0.5
-        return F.greatest(F.lit(0.0), F.least(exact, (F.col("_total") - 1).cast("double")))
-
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), side(rank_of(p)).cast("long").alias("rank"), F.lit(name).alias("side"))
-        for i, p in enumerate(probabilities) for name, side in (("lo", F.floor), ("hi", F.ceil))
-    ])
-    picks = bins.select("*", F.explode(wanted).alias("_w")).select("*", "_w.i", "_w.rank", "_w.side").filter(
-        (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + F.col("_size"))
-    )
-
-    # Only bins that hold a wanted rank are sorted.
-    target = picks.groupBy(*keys, "_bin").agg(
-        F.first("_start").alias("_start"), F.collect_list(F.struct("i", "rank", "side")).alias("_picks")
-    )
-    hit = binned.alias("b").join(
-        target.alias("t"), same_group("b", "t") & (F.col("b._bin") == F.col("t._bin"))
-    ).select(*[F.col(f"b.{key}") for key in keys], "b._bin", "_x", "_n", "_start", "_picks", "_total")
-    running = W.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    placed = hit.withColumn("_end", F.col("_start") + F.sum("_n").over(running))
-    found = placed.select(
-        *keys, "_x", "_total",
-        F.explode(F.filter("_picks", lambda w: (w["rank"] < F.col("_end"))
-                           & (w["rank"] >= F.col("_end") - F.col("_n")))).alias("_w"),
-    )
+        last = (F.col("_total") - 1).cast("double")
+        exact = last * F.lit(p) if method == "continuous" else F.col("_total") * F.lit(p) - 0.5
+        return F.greatest(F.lit(0.0), F.least(exact, last))
 
-    def pick(i: int, side: str):
-        return F.max(F.when((F.col("_w.i") == i) & (F.col("_w.side") == side), F.col("_x")))
+    def inside(i: int):
+        return F.col("_x").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
 
-    ends = found.groupBy(*keys).agg(
-        F.first("_total").alias("_total"),
-        *[pick(i, side).alias(f"_{side}{i}") for i in range(len(probabilities)) for side in ("lo", "hi")],
+    # Pass 2: exact number of rows below and inside each bracket, all of it combined map-side.
+    counts = with_group_values(rows, by, brackets, groups).groupBy(*by).agg(
+        *[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in each],
+        *[F.count_if(inside(i)).alias(f"_inside{i}") for i in each],
     )
+    checked = with_group_values(brackets, by, counts, groups)
+    for i, p in enumerate(probabilities):
+        holds = (F.floor(rank_of(p)) >= F.col(f"_below{i}")) & (
+            F.ceil(rank_of(p)) < F.col(f"_below{i}") + F.col(f"_inside{i}"))
+        checked = checked.withColumns({
+            f"_lo{i}": F.when(holds, F.col(f"_lo{i}")).otherwise(F.col("_min")),
+            f"_hi{i}": F.when(holds, F.col(f"_hi{i}")).otherwise(F.col("_max")),
+            f"_below{i}": F.when(holds, F.col(f"_below{i}")).otherwise(F.lit(0)),
+        })
+    brackets = settle(checked.select(
+        *by, "_total", *[f"_{name}{i}" for i in each for name in ("lo", "hi", "below")]), "brackets")
+
+    # Pass 3: the distinct values inside the brackets, ranked.
+    near = with_group_values(rows, by, brackets, groups)
+    anywhere = F.lit(False)
+    for i in each:
+        anywhere = anywhere | inside(i)
+    hits = near.filter(anywhere).select(*by, "_x", F.explode(F.array_compact(F.array(*[
+        F.when(inside(i), F.struct(F.lit(i).alias("i"), F.col(f"_below{i}").alias("below"), *[
+            side(rank_of(p)).cast("long").alias(name) for name, side in (("lo", F.floor), ("hi", F.ceil))]))
+        for i, p in enumerate(probabilities)
+    ]))).alias("_w"))
+    values = hits.groupBy(*by, "_w", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    running = W.partitionBy(*by, "_w").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    placed = values.withColumn("_end", F.col("_w.below") + F.sum("_n").over(running))
+
+    def at(i: int, side: str):
+        here = (F.col("_w.i") == i) & (F.col(f"_w.{side}") < F.col("_end")) & (
+            F.col(f"_w.{side}") >= F.col("_end") - F.col("_n"))
+        return F.max(F.when(here, F.col("_x"))).alias(f"_{side}{i}")
+
+    found = placed.groupBy(*by).agg(*[at(i, side) for i in each for side in ("lo", "hi")])
+    joined = with_group_values(found, by, brackets.select(*by, "_total"), groups)
 
     def between(i: int, p: float):
         fraction = rank_of(p) - F.floor(rank_of(p))
-        return F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * fraction
+        return (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * fraction).alias(f"q{i}")
 
-    return ends.select(
-        *[F.col(key).alias(name) for key, name in zip(keys, by)],
-        *[between(i, p).alias(f"q{i}") for i, p in enumerate(probabilities)],
-    )
+    return joined.select(*by, *[between(i, p) for i, p in enumerate(probabilities)])
