@@ -154,3 +154,18 @@ def test_insert_ignore_and_alignment(spark):
     assert sorted(map(tuple, insert_ignore(links, existing).collect())) == [(1, 1), (2, 1)]
     aligned = align_to_schema(spark.createDataFrame([("c",)], "city string"), SCHEMAS["locations"], {"country": "India"})
     assert tuple(aligned.first()) == (None, "c", None, "India")
+
+
+def test_training_job(spark, tmp_path):
+    from hirelake.plans.jobs import train
+
+    root, path = str(tmp_path / "star"), str(tmp_path / "models")
+    assert train(spark, root, path) is None
+    kinds = [("Web Developer", "React and CSS", "10000"), ("Data Analyst", "SQL and Excel", "30000")]
+    write_records(tmp_path / "in", "a", [
+        {"title": kinds[i % 2][0], "description": f"{kinds[i % 2][1]} {i}", "salary": kinds[i % 2][2], "country": "USA"}
+        for i in range(40)])
+    load_lake(spark, str(tmp_path / "in" / "a.json"), root, DAY)
+    out = train(spark, root, path, trees=3, depth=3)
+    assert out["accuracy"].first().accuracy == 1.0 and out["regression"].first().mae < 1000
+    assert set(out["salary_model"][1]) == {"React", "React.js", "CSS", "SQL", "Excel"}
