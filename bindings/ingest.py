@@ -27,11 +27,12 @@ SELECT conv_id, turn, role AS title, CASE WHEN turn % 5 = 0 THEN 'N/A' ELSE 'con
   regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS description,
   CASE turn % 5 WHEN 0 THEN conv_id + 1 || ' - ' || conv_id + 9 WHEN 2 THEN conv_id + 1 || '' ELSE 'N/A' END AS salary,
   'http://x/' || conv_id || '/' || turn AS source_url, '2026-01-02 03:04:05' AS scraped_at
-FROM conversations WHERE turn % 5 <> 1""")
+FROM conversations WHERE role <> 'system'""")
 def payload_flatten(spark, sf_dir):
-    """Conversation turns as API pages: absent and null members, empty areas, zero and missing salaries."""
+    """Conversation turns as API pages: absent members, empty areas, zero and missing salaries; a null company breaks
+    the entry."""
     rows = table(spark, sf_dir, "conversations").select("*", F.expr("""
-      '{"title": " ' || role || ' ", ' || CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN '"company": null, '
+      '{"title": " ' || role || ' ", ' || CASE WHEN role = 'system' THEN '"company": null, ' WHEN turn % 5 = 0 THEN ''
         ELSE '"company": {"display_name": "conv ' || conv_id || '"}, ' END
       || CASE turn % 5 WHEN 2 THEN '"location": {"area": []}, ' ELSE '"location": {"area": ["World", "' || role || '"]}, ' END
       || CASE turn % 5 WHEN 0 THEN '"salary_min": ' || (conv_id + 1) || ', "salary_max": ' || (conv_id + 9) || ', '

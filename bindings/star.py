@@ -14,7 +14,7 @@ from hirelake.operators.load import load_star
 from hirelake.operators.transform import check_records
 from hirelake.plans import reports as star_reports
 from hirelake.plans.views import display_list, skill_links, wide_view
-from hirelake.session import settle, shared_folder
+from hirelake.session import shared_folder
 from hirelake.sources.star import SCHEMAS, Star, align_to_schema
 from hirelake.streaming.incremental import run_incremental
 
@@ -224,9 +224,11 @@ def star_display_list(spark, sf_dir):
 @query(CHECKED + """SELECT job_category, is_remote, salary_currency, count(*) AS postings,
   count(salary_mid_usd) AS with_salary FROM checked WHERE reason IS NULL GROUP BY ALL""")
 def incremental_load(spark, sf_dir):
-    """The postings as a lake of several files, streamed into a new star in micro-batches."""
+    """All postings as a lake that arrives in two drops, each loaded by its own run of the stream."""
     lake, root, mark = (shared_folder(spark, name) for name in ("drops", "stream-star", "stream-mark"))
-    posting_documents(spark, sf_dir).select("doc").repartition(4).write.text(lake)
-    run_incremental(spark, lake, root, mark, LOAD_DATE, fmt="lines", files_per_batch=2)
+    documents = posting_documents(spark, sf_dir)
+    for drop in ("salary_case < 4", "salary_case >= 4"):
+        documents.filter(drop).select("doc").write.mode("append").text(lake)
+        run_incremental(spark, lake, root, mark, LOAD_DATE, fmt="lines")
     return Star(spark, root).table("job_postings").groupBy("job_category", "is_remote", "salary_currency").agg(
         F.count(F.lit(1)).alias("postings"), F.count("salary_mid_usd").alias("with_salary"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.session import broadcast_counted, shared_folder
+from hirelake.session import broadcast_counted, settle, shared_folder
 
 COLLATION = "UNICODE_CI_AI"
 
@@ -90,21 +90,23 @@ def resolve_dim(rows: DataFrame, dim: DataFrame, key_cols, id_col: str, order_co
 
     Keys match ignoring case and accents, null equals null; the first spelling is kept and ids follow the order of
     first occurrence. ``dim`` needs ``id_col`` and ``key_cols``; ``start`` is its highest id if already known.
+    The rows are read once, for their spellings. The mapping is a written table, so the planner knows its size: a
+    small one is broadcast to the facts without shuffling them.
     """
-    spelled = spellings(rows, key_cols, order_col, keep)
+    spelled = settle(spellings(rows, key_cols, order_col, keep), "spellings")
     if start is None:
         start = dim.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
     added = sequential_ids(new_members(spelled, dim, key_cols, keep, collation), id_col, ["first_seen"], start)
     added = added.select(id_col, *key_cols, *keep)
     mapping = key_mapping(spelled, dim.select(id_col, *key_cols).unionByName(added.select(id_col, *key_cols)),
                           key_cols, id_col, collation)
-    return added, mapping
+    return added, settle(mapping, "mapping")
 
 
 def attach_id(rows: DataFrame, mapping: DataFrame, key_cols, how: str = "inner") -> DataFrame:
     """Null-safe lookup of the id of each row's raw spelling.
 
-    No broadcast hint: the mapping grows with the number of members, so the measured size decides, and a hot
+    No broadcast hint: the mapping grows with the number of members, so its size on disk decides, and a hot
     spelling on the sort-merge path is split by the adaptive skew join.
     """
     right = mapping.select(*[F.col(name).alias(f"_m_{name}") for name in key_cols],
