@@ -116,31 +116,71 @@ def forest(values: np.ndarray, radius: int, accept: Callable[[int, int], bool] |
 SHORT = 16
 
 
-def links_in_runs(values: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked values within runs: all close pairs of short runs, a spanning forest of long ones."""
-    left, right = [], []
+def _close_in_short_runs(values: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs within ``radius`` in the runs of up to SHORT values."""
+    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     size = np.diff(at)
     of = np.repeat(np.arange(len(size)), size)
     short = np.flatnonzero((size[of] <= SHORT) & (size[of] > 1))
-    rows, run = bit_rows(values[short]), of[short]
     for shift in range(1, int(size[size <= SHORT].max(initial=1))):
+        short = short[size[of[short]] > shift]  # shorter runs are done with
         n = len(short) - shift
         if n < 1:
             break
+        rows, run = bit_rows(values[short]), of[short]
         planes = planes_of(rows[:, :-shift]) ^ planes_of(rows[:, shift:])
-        apart = np.zeros(planes.shape[1] * 64, dtype=np.uint8)
+        apart = np.ones(planes.shape[1] * 64, dtype=np.uint8)
         apart[:n] = run[:-shift] != run[shift:]
-        apart[n:] = 1
         spare = np.packbits(apart, bitorder="little").view(np.uint64)
         found = lanes(within(planes.__getitem__, range(64), (planes.shape[1],), radius, spare), n)
         left.append(short[found])
         right.append(short[found + shift])
-    for k in np.flatnonzero(size > SHORT):
-        pairs = np.array(forest(values[at[k]:at[k + 1]], radius), dtype=np.int64).reshape(-1, 2) + at[k]
-        left.append(pairs[:, 0])
-        right.append(pairs[:, 1])
-    none = [np.empty(0, dtype=np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def links_in_runs(values: np.ndarray, at: np.ndarray, radius: int,
+                  accept: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked values within runs: the close pairs of short runs, a spanning forest of long ones.
+
+    With ``accept`` a pair must pass that check as well; pairs that are connected already are not checked.
+    """
+    left, right = _close_in_short_runs(values, at, radius)
+    if accept is not None:
+        root: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                i = up
+            return i
+
+        kept = []
+        for k, (i, j) in enumerate(zip(left.tolist(), right.tolist())):
+            a, b = top(i), top(j)
+            if a != b and accept(i, j):
+                root[max(a, b)] = min(a, b)
+                kept.append(k)
+        left, right = left[kept], right[kept]
+    pairs = [np.stack((left, right), axis=1).reshape(-1, 2)]
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        if hi - lo > SHORT:
+            check = None if accept is None else lambda i, j, lo=lo: accept(lo + i, lo + j)
+            pairs.append(np.array(forest(values[lo:hi], radius, check), dtype=np.int64).reshape(-1, 2) + lo)
+    found = np.concatenate(pairs).astype(np.int64)
+    return found[:, 0], found[:, 1]
+
+
+def with_partner(values: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
+    """Indices of the values that have another value within ``radius`` in their run."""
+    out = [np.concatenate(_close_in_short_runs(values, at, radius))]
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        if hi - lo > SHORT:
+            own = values[lo:hi]
+            block, step = Planes(own), max(1, min(1 << 10, (1 << 22) // (hi - lo)))
+            for start in range(0, hi - lo, step):
+                near = block.close(own[start:start + step], radius)
+                at_least_two = (near & (near - np.uint64(1))).any(axis=1) | ((near != 0).sum(axis=1) > 1)
+                out.append(lo + start + np.flatnonzero(at_least_two))
+    return np.unique(np.concatenate(out)).astype(np.int64)
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.bitslice import RUN_KEYS, buckets, forest, links_in_runs
+from hirelake.llm.bitslice import RUN_KEYS, buckets, links_in_runs, with_partner
 from hirelake.llm.common import binary, bounded, new_names, reachable, settle, sorted_runs
 from hirelake.llm.components import connected
 
@@ -24,6 +24,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
 _WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _NEWLINE = 10
+_HEAVIEST = 64
 _P = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -48,7 +49,7 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 def line_features(texts: list[bytes]) -> dict[str, np.ndarray]:
     """Of every line with a word: doc (index of the text), line (from 0), key1, key2 (hash of its words in order),
-    simhash (over its words, with repeats)."""
+    simhash (over its words, with repeats, long words weighing more)."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     with np.errstate(over="ignore"):
         ends = np.cumsum([len(t) + 1 for t in texts])  # each text ends in a line feed
@@ -67,14 +68,17 @@ def line_features(texts: list[bytes]) -> dict[str, np.ndarray]:
         place = np.arange(len(word)) - np.repeat(first, count)
         most = int(count.max(initial=0))
         keys = [np.add.reduceat(_mixed(word, salt) * _powers(most, _P[1])[place], first) if len(first) else np.empty(0, np.uint64) for salt in (11, 13)]
+        # A word weighs as much as it is long beyond two octets (one at least), or frequent short words would decide.
+        weight = np.clip(stop - begin - 2, 1, _HEAVIEST)
+        full = np.add.reduceat(weight, first) if len(first) else first
         bits = np.unpackbits(_mixed(word, 17).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.zeros((len(first), 64), dtype=np.int64)
         step = 1 << 16
         for at in range(0, len(word), step):  # sums of a bounded number of words at once
             own = line_of_word[at:at + step]
             new = np.flatnonzero(np.diff(own, prepend=-1))
-            ones[np.searchsorted(lines, own[new])] += np.add.reduceat(bits[at:at + step], new, axis=0, dtype=np.int32)
-        simhash = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+            ones[np.searchsorted(lines, own[new])] += np.add.reduceat(bits[at:at + step] * weight[at:at + step].astype(np.uint8)[:, None], new, axis=0, dtype=np.int32)
+        simhash = np.packbits(2 * ones > full[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
     doc = np.searchsorted(ends, feeds[lines], side="right")
     before = np.searchsorted(feeds, np.concatenate(([0], ends[:-1])))
     return {"doc": doc, "line": lines - before[doc], "key1": keys[0], "key2": keys[1], "simhash": simhash}
@@ -88,15 +92,26 @@ def _as_table(ids: pa.Array, stamps: pa.Array, f: dict[str, np.ndarray]) -> pa.R
         ["doc_id", "stamp", "line", "key1", "key2", "fingerprint"])
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common start, by comparing ever shorter stretches."""
+    if a[:1] != b[:1]:
+        return 0
+    known, step = 0, min(len(a), len(b))
+    while step:
+        if a[known:known + step] == b[known:known + step]:
+            known += step
+            step = min(step, len(a) - known, len(b) - known)
+        else:
+            step //= 2
+    return known
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel over the whole of ``a`` for each character of ``b``."""
-    start = 0
-    stop = min(len(a), len(b))
-    while start < stop and a[start] == b[start]:
-        start += 1
+    start = _common(a, b)
     a, b = a[start:], b[start:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    if end := _common(a[::-1], b[::-1]):
+        a, b = a[:-end], b[:-end]
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
@@ -114,11 +129,17 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def at_most(a: str, b: str) -> int:
+    """A bound of the distance: of lines of as many words, what it takes to write the differing words anew."""
+    own, other = a.split(), b.split()
+    return sum(max(len(x), len(y)) for x, y in zip(own, other) if x != y) if len(own) == len(other) else len(a) + len(b)
+
+
 def similar(a: str, b: str, least: float) -> bool:
     """1 - distance / longer length is ``least`` at the lowest."""
     longer = max(len(a), len(b))
     allowed = (1 - least) * longer + 1e-9
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+    return abs(len(a) - len(b)) <= allowed and (at_most(a, b) <= allowed or edit_distance(a, b) <= allowed)
 
 
 def normalised(line: bytes) -> str:
@@ -129,9 +150,9 @@ def normalised(line: bytes) -> str:
 def _close_lines(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
     """(key1, key2) of the lines that have another line within ``distance``."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, at in sorted_runs(batches, RUN_KEYS):
+        for part, at in sorted_runs(batches, RUN_KEYS, target=1 << 16):
             values = part.column("fingerprint").combine_chunks().to_numpy().view(np.uint64)
-            found = pa.array(np.unique(np.concatenate(links_in_runs(values, at, distance))))
+            found = pa.array(with_partner(values, at, distance))
             yield pa.RecordBatch.from_arrays([part.column(k).combine_chunks().take(found) for k in ("key1", "key2")], ["key1", "key2"])
 
     dealt = buckets(distinct.select("key1", "key2", "fingerprint"), "fingerprint", distance, blocks, MOST_FINGERPRINTS, "line-buckets")
@@ -147,13 +168,10 @@ def _similar_lines(lines: DataFrame, distance: int, blocks: int, similarity: flo
     ``lines``: first, fingerprint, words (the normalised line).
     """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, at in sorted_runs(batches, RUN_KEYS, target=256):
+        for part, at in sorted_runs(batches, RUN_KEYS, target=1024):
             values = part.column("fingerprint").combine_chunks().to_numpy().view(np.uint64)
-            words, first, left, right = part.column("words").to_pylist(), part.column("first").combine_chunks(), [], []
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-                for i, j in forest(values[lo:hi], distance, lambda i, j, lo=lo: similar(words[lo + i], words[lo + j], similarity)):
-                    left.append(lo + i)
-                    right.append(lo + j)
+            words, first = part.column("words").to_pylist(), part.column("first").combine_chunks()
+            left, right = links_in_runs(values, at, distance, lambda i, j: similar(words[i], words[j], similarity))
             yield pa.RecordBatch.from_arrays([first.take(pa.array(left, pa.int64())), first.take(pa.array(right, pa.int64()))], ["a", "b"])
 
     dealt = buckets(lines, "fingerprint", distance, blocks, MOST_LINES, "similar-buckets")
