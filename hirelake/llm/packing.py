@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,29 +19,63 @@ CAPACITY = 2048
 UNIT = 8
 END_ID = 1
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
+
+
+_TAIL = b".,!?;:"
 
 
 class WordIds:
-    """Ids of white-space parted words, remembered. A token never reaches over white space in the vocabularies used."""
+    """Ids of white-space parted words, remembered. A token of the vocabularies used never reaches over white space, case
+    does not count, and end marks behind a letter or digit are tokens of their own."""
 
     def __init__(self, model: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given the task its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words. Words of letters alone are encoded many in one text: each ends in one id that ends a word;
+        should a text have more such ids than words, its words are encoded one by one."""
+        letters = [w for w in words if w.decode(errors="replace").isalpha()]
+        single = list(set(words).difference(letters))
+        for start in range(0, len(letters), 256):
+            some = letters[start:start + 256]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                single += some
+                continue
+            octets, stops = ids.tobytes(), (4 * ends).tolist()
+            self.known.update((word, octets[lo:hi]) for word, lo, hi in zip(some, [0, *stops], stops))
+        for start in range(0, len(single), 4096):
+            some = single[start:start + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in some], add_special_tokens=False)
+            self.known.update((word, np.array(one.ids, dtype="<u4").tobytes()) for word, one in zip(some, found))
+
+    def _prepare(self, new: set[bytes]) -> None:
+        cores = {}
+        for word in new:
+            core = word.rstrip(_TAIL)
+            if core != word and core[-1:].isalnum():
+                cores[word] = core
+        needed = (new - cores.keys()).union(cores.values(), (word[len(core):] for word, core in cores.items()))
+        self._learn(list(needed.difference(self.known)))
+        self.known.update((word, self.known[core] + self.known[word[len(core):]]) for word, core in cores.items())
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parted = [text.split() for text in texts]
-        new = list(set().union(*parted).difference(self.known))
+        parted = [text.lower().split() for text in texts]
+        new = set().union(*parted).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(set().union(*parted))
-        for start in range(0, len(new), 4096):
-            some = new[start:start + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in some], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+            self.known, new = {}, set().union(*parted)
+        self._prepare(new)
         for words in parted:
             yield b"".join(map(self.known.__getitem__, words))
 
