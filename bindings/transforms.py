@@ -15,7 +15,6 @@ from hirelake.operators.transform import (
 )
 from hirelake.rules import Term
 from hirelake.sources.lake import field_sql, has_field, record_fields
-from hirelake.session import spread
 from hirelake.sources.sinks import quarantine_counts
 
 RAW = "WITH raw AS (" + duck_sql(POSTING_SQL) + ")\n"
@@ -116,7 +115,7 @@ WORDS = [Term("the", "en", "the"), Term("and", "en", "and"), Term("le", "fr", "l
 @query(_tag_sql("documents", "doc_id", "text", WORDS))
 def document_terms(spark, sf_dir):
     """Whole texts in four languages against a parameter dictionary with accents, a phrase and punctuation."""
-    return tag_terms(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id", WORDS)
+    return tag_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id", WORDS)
 
 
 @query("SELECT doc_id, source || ' ' || coalesce(text, '') AS text_features FROM documents")

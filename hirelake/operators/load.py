@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from hirelake.operators.keys import attach_id, number_rows, resolve_dim
 from hirelake.operators.transform import explode_terms
-from hirelake.session import shared_folder
-from hirelake.sources.star import Star
+from hirelake.session import settle, shared_folder
+from hirelake.sources.star import DEFAULTS, SCHEMAS, Star, align_to_schema
 
 PLACE = ("city", "region", "country")
 
@@ -19,15 +19,18 @@ PLACE = ("city", "region", "country")
 def _reserve(star: Star, load_id: str, staged_good: DataFrame, staged_bad: DataFrame, load_date: dt.date):
     """(first id offset, load date) of this load, written to the log before any posting.
 
-    A repeated load finds its own entry and uses the same ids and date; a later load starts behind it even when the
-    earlier one never finished.
+    A repeated load of as many records finds its own entry and uses the same ids and date. A repeat with other counts
+    keeps its date, but gets a new range behind all others, which replaces its entry: ids are never given twice. A
+    later load starts behind an earlier one even when that never finished.
     """
     log = star.stored("load_log")
-    own = log.filter(F.col("load_id") == load_id).select("first_job_id", "load_date").first()
+    good, bad = staged_good.count(), staged_bad.count()
+    own = log.filter(F.col("load_id") == load_id).first()
     if own is not None:
-        return own["first_job_id"] - 1, own["load_date"]
+        load_date = own["load_date"]
+        if (own["inserted"], own["skipped"]) == (good, bad):
+            return own["first_job_id"] - 1, load_date
     last = log.agg(F.coalesce(F.max(F.col("first_job_id") + F.col("inserted") - 1), F.lit(0)).alias("n")).first()["n"]
-    good, bad = staged_good.count(), staged_bad.count()
     entry = star.spark.range(1).select(
         F.lit(good + bad).alias("records_read"), F.lit(good).alias("inserted"), F.lit(bad).alias("skipped"),
         F.lit(last + 1).alias("first_job_id"), F.lit(load_date).alias("load_date"),
@@ -42,7 +45,9 @@ def load_star(checked: DataFrame, star: Star, load_date: dt.date, load_id: str |
 
     Postings are never deduplicated: loading the same records under a new ``load_id`` doubles them, repeating a
     ``load_id`` replaces that load. The rows are parsed once and staged in the shared folder. Dimensions are written
-    first and postings last, so an interrupted load leaves no posting with a dangling key.
+    first and postings last, so an interrupted load leaves no posting with a dangling key. Dimension rows are only ever
+    added: a repeat keeps the ids that it gave before, because later loads may use them. One load at a time may run on
+    a star: ids are reserved by reading the log and then writing to it.
     """
     spark = star.spark
     load_id = load_id or uuid.uuid4().hex
@@ -56,31 +61,35 @@ def load_star(checked: DataFrame, star: Star, load_date: dt.date, load_id: str |
     before, load_date = _reserve(star, load_id, good, bad, load_date)
     good = number_rows(good, "job_id", before)
 
-    def members(table: str) -> DataFrame:
-        return star.stored(table).filter(F.col("load_id") != load_id).drop("load_id")
+    def add(added: DataFrame, table: str) -> None:
+        own = star.stored(table).filter(F.col("load_id") == load_id).drop("load_id")
+        aligned = align_to_schema(added, SCHEMAS[table], DEFAULTS.get(table))
+        star.write(settle(own.unionByName(aligned), "members"), table, load_id)
 
-    companies, company_ids = resolve_dim(good, members("companies"), ["company_name"], "company_id", "job_id")
-    star.write(companies, "companies", load_id)
+    companies, company_ids = resolve_dim(good, star.table("companies"), ["company_name"], "company_id", "job_id")
+    add(companies, "companies")
 
     placed = good.filter(F.col("city").isNotNull())
-    locations, location_ids = resolve_dim(placed, members("locations"), list(PLACE), "location_id", "job_id")
-    star.write(locations, "locations", load_id)
+    locations, location_ids = resolve_dim(placed, star.table("locations"), list(PLACE), "location_id", "job_id")
+    add(locations, "locations")
 
     tags = explode_terms(good, "terms", "job_id").withColumnsRenamed(
         {"term": "skill_name", "term_type": "skill_category"}
     )
-    skills, skill_ids = resolve_dim(tags, members("skills"), ["skill_name"], "skill_id", "job_id",
+    skills, skill_ids = resolve_dim(tags, star.table("skills"), ["skill_name"], "skill_id", "job_id",
                                     keep=["skill_category"])
-    star.write(skills, "skills", load_id)
+    add(skills, "skills")
 
     # Terms are distinct within a posting and job ids are new, so only spellings that fold together can repeat a pair.
     links = attach_id(tags, skill_ids, ["skill_name"]).select("job_id", "skill_id")
     if skill_ids.agg((F.count(F.lit(1)) > F.count_distinct("skill_id")).alias("folds")).first()["folds"]:
         links = links.dropDuplicates(["job_id", "skill_id"])
+    star.clear("job_skills", load_id)
     star.write(links, "job_skills", load_id)
 
     postings = attach_id(good, company_ids, ["company_name"])
     postings = attach_id(postings, location_ids, PLACE, "left")
+    star.clear("job_postings", load_id)
     stamp = F.lit(scraped_at) if scraped_at is not None else F.current_timestamp()
     star.write(postings.withColumn("posted_date", F.lit(load_date)).withColumn("scraped_at", stamp),
                "job_postings", load_id)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.session import broadcast_counted, settle
+from hirelake.session import settle
 
 ACCURACY = 1000
 MARGIN = 3.0 / ACCURACY
@@ -21,7 +21,7 @@ def with_group_values(df: DataFrame, by, per_group: DataFrame, groups: int) -> D
     """``df`` with the columns of its group's row in ``per_group``; null groups match. ``groups`` is the row count of
     ``per_group`` and decides whether it may be broadcast."""
     names = {name: f"_of_{name}" for name in by}
-    side = broadcast_counted(per_group.withColumnsRenamed(names), groups)
+    side = per_group.withColumnsRenamed(names)
     same = F.lit(True)
     for name in by:
         same = same & F.col(name).eqNullSafe(F.col(names[name]))

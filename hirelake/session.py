@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A table is broadcast by hand only below this many rows, counted beforehand.
-BROADCAST_ROWS = 500_000
 
 
 def build_session(app: str = "hirelake", master: str | None = None, **conf) -> SparkSession:
@@ -37,34 +32,18 @@ def build_session(app: str = "hirelake", master: str | None = None, **conf) -> S
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new, unused path under the folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where the setting is absent a local master gets a temporary folder; a cluster has to name one.
+    Where the setting is absent a local master uses a folder in its warehouse; a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="hirelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/hirelake/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when ``df`` reads fewer files than there are cores; otherwise unchanged.
-
-    For row work that is heavy on CPU (parsing, regular expressions) over an input too small to give every core a
-    split. A large input already has more splits than cores and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives executor loss."""
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_counted(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count is already known; above ``limit`` the planner chooses."""
-    return F.broadcast(df) if rows <= limit else df

@@ -43,10 +43,15 @@ def record_fields(record_json: str) -> Column:
 def document_records(document: Column, envelope_keys=rules.ENVELOPE_KEYS) -> Column:
     """array<string> with the JSON text of every record of a document.
 
-    An array is its own list; an object gives the first envelope key that holds a list; anything else is one record.
+    An array is its own list; an object gives the first envelope key that holds a list; several lines that are each a
+    JSON object (JSON Lines under a .json name, as Spark's writer makes them) are a record each; anything else is one
+    record.
     """
+    lines = F.filter(F.split(document, r"\r?\n", -1), lambda line: F.trim(line) != "")
+    is_object = lambda line: line.rlike(r"^\s*\{") & F.try_parse_json(line).isNotNull()
     envelope = F.from_json(document, ", ".join(f"`{key}` array<string>" for key in envelope_keys))
     return F.coalesce(
+        F.when((F.size(lines) > 1) & F.forall(lines, is_object), lines),
         F.from_json(document, "array<string>"),
         *[envelope[key] for key in envelope_keys],
         F.array(document),
@@ -85,20 +90,56 @@ def csv_records(df: DataFrame, names, file: str = "file") -> DataFrame:
                      fields.alias("fields"))
 
 
+def _read_csv(spark: SparkSession, paths: list[str], **options) -> list[DataFrame]:
+    """Records of CSV files, each file by its own header: files are read together where their header lines are equal."""
+    origin = F.col("_metadata.file_path").alias("file")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.options(**options).text(paths).select("value", origin, place.alias("place"))
+    firsts = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    headers = [r["header"] for r in firsts.select("header").distinct().collect()]
+
+    def records(files: list[str], **more) -> DataFrame:
+        rows = spark.read.options(**more).csv(files, header=True, multiLine=True, escape='"', inferSchema=False, encoding="UTF-8")
+        return csv_records(rows.select("*", origin), rows.columns)
+
+    if len(headers) == 1:
+        return [records(paths, **options)]
+    return [records([r["file"] for r in firsts.filter(F.col("header") == header).select("file").collect()]) for header in sorted(headers)]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out, *rest = parts
+    for part in rest:
+        out = out.unionByName(part)
+    return out
+
+
 def read_lake(spark: SparkSession, path, fmt: str | None = None) -> DataFrame:
     """Records of a file, a folder or a list of paths.
 
-    ``fmt``: ``json`` (one document per file), ``lines`` (JSON Lines: splittable, the form our own sink writes) or
-    ``csv`` (header, quoted line breaks allowed). Without it the suffix of the path decides.
+    ``fmt``: ``json`` (a document, or JSON Lines, per file), ``lines`` (JSON Lines: splittable, the form our own sink
+    writes) or ``csv`` (header, quoted line breaks allowed, each file by its own header). Without it the suffix of each
+    file decides: .json or else CSV; in a folder, at any depth, files ending in .json and in .csv are read.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    fmt = fmt or format_of(paths[0])
     origin = F.col("_metadata.file_path").alias("file")
+    if fmt is None:
+        folders = [p for p in paths if "." not in p.rstrip("/").rpartition("/")[2]]
+        files = [p for p in paths if p not in folders]
+        parts = []
+        for kind, glob in (("json", "*.[jJ][sS][oO][nN]"), ("csv", "*.[cC][sS][vV]")):
+            own, options = [p for p in files if format_of(p) == kind], {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
+            if own:
+                parts.append(read_lake(spark, own, kind))
+            if folders and kind == "json":
+                parts.append(explode_documents(spark.read.options(**options).text(folders, wholetext=True).select("value", origin)))
+            elif folders:
+                parts += _read_csv(spark, folders, **options)
+        return _united(parts)
     if fmt == "json":
         return explode_documents(spark.read.text(paths, wholetext=True).select("value", origin))
     if fmt == "lines":
         return line_records(spark.read.text(paths).select("value", origin))
     if fmt != "csv":
         raise ValueError(f"unknown lake format {fmt!r}")
-    rows = spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False, encoding="UTF-8")
-    return csv_records(rows.select("*", origin), rows.columns)
+    return _united(_read_csv(spark, paths))

@@ -120,3 +120,13 @@ class Star:
         aligned = align_to_schema(df, SCHEMAS[table], DEFAULTS.get(table)).withColumn("load_id", F.lit(load_id))
         (aligned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*self.partitions(table)).parquet(self.path(table)))
+
+    def clear(self, table: str, load_id: str) -> None:
+        """Delete what ``load_id`` has in ``table``; a rewrite without rows would leave it."""
+        jvm = self.spark._jvm
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(load_id)
+        levels = ["*"] * (len(self.partitions(table)) - 1)
+        pattern = jvm.org.apache.hadoop.fs.Path("/".join([self.path(table), *levels, f"load_id={name}"]))
+        files = pattern.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        for found in files.globStatus(pattern) or []:
+            files.delete(found.getPath(), True)

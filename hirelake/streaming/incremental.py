@@ -25,8 +25,9 @@ def run_incremental(spark: SparkSession, path: str, root: str, checkpoint: str,
                     fmt: str = "json", files_per_batch: int | None = None, **options) -> None:
     """Load everything that arrived since the last run, then stop.
 
-    The file source and the checkpoint decide which files are new. A batch that is repeated after a failure carries
-    the same batch number, so it overwrites its own partitions and reuses its reserved ids.
+    The file source and the checkpoint decide which files are new. A load is named by the stream's id, which its
+    checkpoint keeps, and the batch number: a batch that is repeated after a failure overwrites its own partitions and
+    reuses its reserved ids, and streams with checkpoints of their own stay apart in one star.
     """
     if fmt not in ("json", "lines"):
         raise ValueError(f"unknown stream format {fmt!r}")
@@ -35,7 +36,10 @@ def run_incremental(spark: SparkSession, path: str, root: str, checkpoint: str,
 
     def load(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            load_star(check_records(to_records(batch), **options), star, load_date, f"stream-{number:010d}")
+            stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            if not stream:
+                raise RuntimeError("the stream has no id")
+            load_star(check_records(to_records(batch), **options), star, load_date, f"stream-{stream}-{number:010d}")
 
     query = (
         stream_files(spark, path, fmt, files_per_batch).writeStream.foreachBatch(load)
