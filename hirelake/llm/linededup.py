@@ -131,7 +131,7 @@ def edit_distance(a: str, b: str) -> int:
 
 def at_most(a: str, b: str) -> int:
     """A bound of the distance: of lines of as many words, what it takes to write the differing words anew."""
-    own, other = a.split(), b.split()
+    own, other = a.split(" "), b.split(" ")
     return sum(max(len(x), len(y)) for x, y in zip(own, other) if x != y) if len(own) == len(other) else len(a) + len(b)
 
 
