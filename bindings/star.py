@@ -221,6 +221,24 @@ def star_display_list(spark, sf_dir):
                               "Max Salary": F.col("Max Salary").cast("double")})
 
 
+@query(CHECKED + "SELECT 'orders' AS file, id AS ordinal, reason, title FROM checked WHERE reason IS NOT NULL")
+def star_quarantine(spark, sf_dir):
+    """Rows that the load did not take, by file, place and reason."""
+    return loaded_star(spark, sf_dir).table("quarantine").select("file", "ordinal", "reason", "title")
+
+
+@query("SELECT c_custkey AS location_id, c_mktsegment AS city, CASE WHEN c_custkey % 2 = 0 THEN 'India' ELSE 'C' || c_nationkey END AS country FROM customer")
+def schema_change(spark, sf_dir):
+    """Rows stored before a column existed read its default, newer ones their own value."""
+    star = Star(spark, shared_folder(spark, "changed-star"))
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("location_id"), F.col("c_mktsegment").alias("city"), F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("country"))
+    old = rows.filter("location_id % 2 = 0").drop("country").withColumn("load_id", F.lit("old"))
+    old.write.partitionBy("load_id").parquet(star.path("locations"))
+    star.write(rows.filter("location_id % 2 = 1"), "locations", "new")
+    return star.table("locations").select("location_id", "city", "country")
+
+
 @query(CHECKED + """SELECT job_category, is_remote, salary_currency, count(*) AS postings,
   count(salary_mid_usd) AS with_salary FROM checked WHERE reason IS NULL GROUP BY ALL""")
 def incremental_load(spark, sf_dir):

@@ -41,6 +41,9 @@ SCHEMAS = {
     "load_log": _schema(
         ("records_read", T.LongType()), ("inserted", T.LongType()), ("skipped", T.LongType()),
         ("first_job_id", T.LongType()), ("load_date", T.DateType())),
+    "quarantine": _schema(
+        ("file", T.StringType()), ("ordinal", T.LongType()), ("reason", T.StringType()), ("title", T.StringType()),
+        ("description", T.StringType()), ("source_url", T.StringType()), required=("reason",)),
 }
 
 #: Defaults that an additive schema change gives to rows written before the column existed.
@@ -85,7 +88,11 @@ class Star:
         return PARTITIONS.get(table, ("load_id",))
 
     def _stored_schema(self, table: str) -> T.StructType:
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in SCHEMAS[table]])
+        """Types as read: a column that a file was written without reads as its default, not as null."""
+        defaults = DEFAULTS.get(table, {})
+        schema = T.StructType([
+            T.StructField(f.name, f.dataType, metadata={"EXISTS_DEFAULT": f"'{defaults[f.name]}'"} if f.name in defaults else None)
+            for f in SCHEMAS[table]])
         return schema.add("load_id", T.StringType())
 
     def create(self) -> "Star":

@@ -66,3 +66,22 @@ def test_lake_formats(spark, tmp_path):
     assert len(rows) == 14
     assert {("ta", "ca"), ("tb", "cb"), ("t20", "c20"), ("t9", "c9")} <= {(r.t.strip('"'), r.c.strip('"')) for r in rows}
     assert read_lake(spark, [str(lake / "a.csv"), str(lake / "array.json")]).count() == 3
+
+
+def test_quarantine_is_kept_and_cleared(spark, tmp_path):
+    star = Star(spark, str(tmp_path / "star")).create()
+    bad = {**posting(1), "title": " "}
+    load_star(checked(spark, tmp_path / "one", [posting(0), bad, posting(2)]), star, DAY, "one")
+    row, = star.table("quarantine").collect()
+    assert row["reason"] == "blank title" and row["source_url"] == "u1" and row["file"].endswith("a.json")
+    load_star(checked(spark, tmp_path / "two", [posting(0)]), star, DAY, "one")
+    assert star.table("quarantine").count() == 0
+
+
+def test_rows_of_before_a_column_read_its_default(spark, tmp_path):
+    star = Star(spark, str(tmp_path / "star"))
+    old = spark.createDataFrame([(1, "a", "old")], "location_id long, city string, load_id string")
+    old.write.partitionBy("load_id").parquet(star.path("locations"))
+    star.write(spark.createDataFrame([(2, "b", None)], "location_id long, city string, country string"), "locations", "new")
+    rows = {r["city"]: (r["region"], r["country"]) for r in star.table("locations").collect()}
+    assert rows == {"a": (None, "India"), "b": (None, None)}

@@ -150,3 +150,18 @@ def test_class_report_with_a_class_never_predicted(spark):
     got = {r["class"]: (round(r.precision, 4), round(r.recall, 4), round(r.f1, 4), r.support) for r in metrics.class_report(df).collect()}
     assert got["a"] == (1.0, 0.5, 0.6667, 2) and got["c"] == (0.0, 0.0, 0.0, 1) and got["b"] == (0.3333, 1.0, 0.5, 1)
     assert got["macro avg"] == (0.4444, 0.5, 0.3889, 4) and got["weighted avg"] == (0.5833, 0.5, 0.4583, 4)
+
+
+def test_split_is_the_same_however_narrow_the_ranked_rest(spark):
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("string").alias("label"))
+    for strata in (None, "label"):
+        wide = exact_split(rows, "id", 0.2, 1, strata)
+        narrow = exact_split(rows, "id", 0.2, 1, strata, most=0)
+        assert narrow.filter("is_test").count() == 600
+        assert wide.exceptAll(narrow).isEmpty()
+
+
+def test_scores_without_models(spark):
+    request = spark.createDataFrame([("t", "d")], "title string, description string")
+    row = models.score_postings(None, None, request).first()
+    assert row["job_category"] == "Other" and row["predicted_salary"] is None and row["salary_low"] is None
