@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import bpe, linededup, merkle, packing, pii, quality, secrets, simhash, toxicity, urls
+from hirelake.llm import (
+    bpe, linededup, merkle, packing, periodic, pii, quality, qualityclassifier, secrets, simhash, spelling, toxicity, urls,
+)
 from hirelake.llm.common import table
 
 QUERIES: dict[str, tuple] = {}
@@ -117,3 +119,18 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualityclassifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variant_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
