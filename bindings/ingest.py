@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings.registry import query, table
 from hirelake.functions.text import text_of
+from hirelake.operators.transform import check_records
 from hirelake.session import shared_folder
 from hirelake.sources.lake import explode_documents, field, field_sql, has_field, read_lake
 from hirelake.sources.payload import flatten_payload
@@ -64,6 +65,23 @@ def json_envelopes(spark, sf_dir):
                           F.try_variant_get(field("props"), "$.k", "string").alias("k"))
 
 
+BROKEN = "event_id % 10 = 3"
+
+
+@query(f"""SELECT CASE WHEN {BROKEN} THEN '' ELSE event_type END AS title, CASE WHEN {BROKEN} THEN '' ELSE 'event ' || event_id END AS description,
+  CASE WHEN {BROKEN} THEN 'unreadable record' END AS reason,
+  CASE WHEN {BROKEN} THEN '{{"Title": "' || event_type || '", "description": "event ' || event_id || '}}' END AS raw FROM events""")
+def broken_lines(spark, sf_dir):
+    """JSON Lines in files read as documents, every tenth line cut short: the other lines are records, the broken ones
+    are set aside with their text."""
+    path = shared_folder(spark, "broken-lines")
+    events = table(spark, sf_dir, "events").select(F.expr(
+        f"""'{{"Title": "' || event_type || '", "description": "event ' || event_id || if({BROKEN}, '}}', '"}}')""").alias("line"))
+    events.write.text(path)
+    checked = check_records(read_lake(spark, path, "json"))
+    return checked.select("title", "description", "reason", "raw")
+
+
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def csv_roundtrip(spark, sf_dir):
     """CSV export and CSV scan; quoted line breaks and quotes survive."""

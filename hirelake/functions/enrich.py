@@ -31,12 +31,10 @@ def _years_sql(text: str) -> str:
         return let_sql(f"regexp_extract(t, {quoted(pattern)}, 0)", "h", f"CASE WHEN h <> '' THEN {bounds} END")
 
     first, second = "get(n, 0)", "get(n, 1)"
-    tried = ", ".join((
-        found(YEARS_RANGE, first, second),
-        found(YEARS_PLUS, first, f"{first} + {PLUS_SPAN}D"),
-        found(YEARS_LABEL, first, first),
-    ))
-    with_digit = f"CASE WHEN rlike(t, {quoted(r'\p{Nd}')}) THEN coalesce({tried}) END"
+    with_unit = f"coalesce({found(YEARS_RANGE, first, second)}, {found(YEARS_PLUS, first, f'{first} + {PLUS_SPAN}D')})"
+    tried = let_sql("lower(t)", "f", f"""coalesce(CASE WHEN contains(f, 'yr') OR contains(f, 'year') THEN {with_unit} END,
+      CASE WHEN contains(f, 'exp') THEN {found(YEARS_LABEL, first, first)} END)""")
+    with_digit = f"CASE WHEN rlike(t, {quoted(r'\p{Nd}')}) THEN {tried} END"
     return let_sql(f"translate({text}, '–—', '--')", "t", with_digit)
 
 
@@ -44,7 +42,8 @@ def years_range(text: str, fallback: str | None = None) -> Column:
     """struct(min, max) years asked for in ``text``, else in ``fallback``; null when neither names any.
 
     'X - Y years' gives (X, Y), 'X+ years' gives (X, X + 4), 'experience: X' gives (X, X). Each pattern scans the
-    text once; the numbers are then taken from the short hit. Texts without a digit are not scanned at all.
+    text once; the numbers are then taken from the short hit. A text without a digit is not scanned at all, and a
+    pattern runs only where the letters occur that it cannot do without.
     """
     return F.expr(_years_sql(text) if fallback is None else f"coalesce({_years_sql(text)}, {_years_sql(fallback)})")
 
@@ -84,23 +83,50 @@ def currency_of(country: str, ordered_rules=rules.CURRENCY_RULES) -> Column:
 
 
 def fold_case(text: str) -> Column:
-    """Case-folded copy used as a cheap pre-test: if a term matches ignoring case, its folded form is contained."""
-    return F.expr(f"lower(upper({text}))")
+    """Case-folded copy used as a cheap pre-test: if a term matches ignoring case, its folded form is contained.
 
+    The empty text in between keeps the optimizer from taking lower(upper(x)) for lower(x), which folds less.
+    """
+    return F.expr(f"lower(concat(upper({text}), ''))")
+
+
+def _is_word(stem: str) -> bool:
+    """Does the stem consist of word characters, one folded character for each?"""
+    return all(c.isalnum() or c == "_" for c in stem) and len(stem.upper().lower()) == len(stem)
+
+
+def _fold(stem: str) -> str:
+    return stem.upper().lower()
+
+
+def dictionary_words(text: str, folded: str, terms=None) -> Column:
+    """array<string>: the folded one-word terms that are words of the text, by one pass over its words and one lookup.
 
-def term_hits(text: str, folded: str, terms=None) -> Column:
+    ``folded`` is :func:`fold_case` of the same text. Null where folding changed the number of characters (as for ß):
+    there a word of the folded text may be none of the text, and :func:`term_hits` tests each term by its pattern.
+    """
+    terms = rules.default_terms() if terms is None else terms
+    words = ", ".join(quoted(w) for w in sorted({_fold(term.stem) for term in terms if not term.ending and _is_word(term.stem)}))
+    found = f"array_intersect(regexp_extract_all({folded}, {quoted(rules.WORD + '+')}, 0), array({words}))"
+    return F.expr(f"CASE WHEN char_length({folded}) = char_length({text}) THEN {found if words else 'cast(array() AS array<string>)'} END")
+
+
+def term_hits(text: str, folded: str, words: str, terms=None) -> Column:
     """array<struct(term, term_type)> of the dictionary terms that occur in ``text`` as whole words.
 
-    ``folded`` is :func:`fold_case` of the same text. A plain substring test on it decides whether the regular
-    expression has to run, so most of the dictionary costs one byte search per row.
+    ``folded`` is :func:`fold_case` and ``words`` :func:`dictionary_words` of the same text and terms. A term of several
+    words, or with other characters, runs its regular expression only where a plain byte search finds its stem.
     """
     terms = rules.default_terms() if terms is None else terms
-    hits = ", ".join(
-        f"CASE WHEN contains({folded}, {quoted(term.stem.upper().lower())})"
-        f" AND rlike({text}, {quoted(rules.whole_word(term.stem, term.ending))})"
-        f" THEN named_struct('term', {quoted(term.name)}, 'term_type', {quoted(term.kind)}) END"
-        for term in terms
-    )
+
+    def test(term) -> str:
+        pattern = (f"contains({folded}, {quoted(_fold(term.stem))})"
+                   f" AND rlike({text}, {quoted(rules.whole_word(term.stem, term.ending))})")
+        if term.ending or not _is_word(term.stem):
+            return pattern
+        return f"CASE WHEN {words} IS NULL THEN {pattern} ELSE array_contains({words}, {quoted(_fold(term.stem))}) END"
+
+    hits = ", ".join(f"CASE WHEN {test(term)} THEN named_struct('term', {quoted(term.name)}, 'term_type', {quoted(term.kind)}) END" for term in terms)
     return F.expr(f"array_compact(array({hits}))")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hirelake import rules
 
 SPACE = r"[\s\x1C-\x1F]"
+_SPACES = "".join(chr(code) for code in range(0x10000) if chr(code).isspace())  # the characters of SPACE
 _NON_ASCII_DIGITS = [chr(code) for code in range(128, 0x10000) if unicodedata.category(chr(code)) == "Nd"]
 _DIGITS_FROM = "".join(_NON_ASCII_DIGITS)
 _DIGITS_TO = "".join(str(unicodedata.decimal(char)) for char in _NON_ASCII_DIGITS)
@@ -31,11 +32,11 @@ def let_sql(value: str, name: str, body: str) -> str:
 
 
 def strip_sql(text: str) -> str:
-    return f"regexp_replace({text}, {quoted(f'(?U)^{SPACE}+|{SPACE}+$')}, '')"
+    return f"trim(BOTH {quoted(_SPACES)} FROM {text})"
 
 
 def strip(text: str) -> Column:
-    """Remove white space (all of Unicode's, not only blanks) at both ends."""
+    """Remove white space (all of Unicode's, not only blanks) at both ends. No pattern runs over the text in between."""
     return F.expr(strip_sql(text))
 
 

@@ -97,7 +97,7 @@ def box_stats(df: DataFrame, group: str, value: str, method: str = "continuous")
     x = F.col("_x")
     inside = x.between(F.col("lower_fence"), F.col("upper_fence"))
     rows = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_x"))
-    return with_group_values(rows, [group], fences, quartiles.count()).groupBy(group).agg(
+    return with_group_values(rows, [group], fences).groupBy(group).agg(
         F.count(F.lit(1)).alias("postings"),
         F.min(x).alias("min_value"),
         *[F.first(name).alias(name) for name in ("q1", "median", "q3", "lower_fence", "upper_fence")],

@@ -46,7 +46,7 @@ def load_star(checked: DataFrame, star: Star, load_date: dt.date, load_id: str |
     Postings are never deduplicated: loading the same records under a new ``load_id`` doubles them, repeating a
     ``load_id`` replaces that load. The rows are parsed once and staged in the shared folder. Dimensions are written
     first and postings last, so an interrupted load leaves no posting with a dangling key. Bad rows are kept in the
-    table ``quarantine`` with their file, place in it and reason. Dimension rows are only ever
+    table ``quarantine`` with their file, place in it, reason and text. Dimension rows are only ever
     added: a repeat keeps the ids that it gave before, because later loads may use them. One load at a time may run on
     a star: ids are reserved by reading the log and then writing to it.
     """
@@ -86,7 +86,7 @@ def load_star(checked: DataFrame, star: Star, load_date: dt.date, load_id: str |
     if skill_ids.agg((F.count(F.lit(1)) > F.count_distinct("skill_id")).alias("folds")).first()["folds"]:
         links = links.dropDuplicates(["job_id", "skill_id"])
     star.clear("quarantine", load_id)
-    star.write(bad.select("file", "ordinal", "reason", "title", "description", "source_url"), "quarantine", load_id)
+    star.write(bad, "quarantine", load_id)
     star.clear("job_skills", load_id)
     star.write(links, "job_skills", load_id)
 

@@ -1,25 +1,25 @@
-"""Exact quantiles per group without sorting or holding a group in one task.
+"""Exact quantiles per group by selection: wanted ranks are narrowed by counting, never by sorting a group.
 
-A mergeable sketch of bounded size brackets each wanted quantile of each group. One pass counts the rows below and
-inside the brackets; only the distinct values inside, well under one percent of a group per quantile, are sorted.
+A double is mapped to a whole number of the same order. Each pass counts rows by the next bits of that number, for all
+groups and wanted ranks at once, and keeps the part that a rank falls into. Only parts of a bounded size are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hirelake.session import settle
 
-ACCURACY = 1000
-MARGIN = 3.0 / ACCURACY
+#: Bits of the ordered number that a pass counts by; values of a part that are ranked in one task.
+PART_BITS = 16
+MOST_RANKED = 100_000
 METHODS = ("continuous", "midpoint")
 
 
-def with_group_values(df: DataFrame, by, per_group: DataFrame, groups: int) -> DataFrame:
-    """``df`` with the columns of its group's row in ``per_group``; null groups match. ``groups`` is the row count of
-    ``per_group`` and decides whether it may be broadcast."""
+def with_group_values(df: DataFrame, by, per_group: DataFrame) -> DataFrame:
+    """``df`` with the columns of its group's row in ``per_group``; null groups match."""
     names = {name: f"_of_{name}" for name in by}
     side = per_group.withColumnsRenamed(names)
     same = F.lit(True)
@@ -28,81 +28,82 @@ def with_group_values(df: DataFrame, by, per_group: DataFrame, groups: int) -> D
     return df.join(side, same).drop(*names.values())
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities, by, method: str = "continuous") -> DataFrame:
+def ordered_bits(x: str) -> Column:
+    """A long that orders as the double column ``x`` does: exponent and fraction of its size as in its binary form, with
+    the sign. Both zeros are 0, infinity lies beyond all numbers, NaN beyond infinity.
+
+    SQL has no access to the bits of a double. The exponent comes from the logarithm, put right where that was rounded
+    across a power of two; dividing by a power of two is exact, so the fraction is whole after scaling.
+    """
+    size, guess = f"abs({x})", f"cast(floor(log2(abs({x}))) AS int)"
+    power = "pow(2D, e)"
+    exact = f"CASE WHEN {size} < {power} THEN e - 1 WHEN {size} / {power} >= 2D THEN e + 1 ELSE e END"
+    normal = f"(g + 1023L) * 4503599627370496L + cast(({size} / pow(2D, g) - 1D) * 4503599627370496D AS bigint)"
+    number = f"get(transform(transform(array({guess}), e -> {exact}), g -> {normal}), 0)"
+    least_normal, least = "2.2250738585072014E-308D", "4.9E-324D"
+    tiny = f"cast({size} / {least} AS bigint)"  # below the least normal number the fraction alone counts
+    bits = (f"CASE WHEN isnan({x}) THEN 9223372036854775807L WHEN {x} = 0D THEN 0L WHEN {size} = double('Infinity') THEN 9218868437227405312L "
+            f"WHEN {size} < {least_normal} THEN {tiny} ELSE {number} END")
+    return F.expr(f"CASE WHEN {x} < 0D THEN -1L ELSE 1L END * {bits}")
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities, by, method: str = "continuous", most: int = MOST_RANKED) -> DataFrame:
     """(by…, q0, q1, …) as doubles, one column per probability; null values are not counted.
 
     ``continuous`` interpolates at rank (n - 1)·p, the usual definition; ``midpoint`` at rank n·p - 0.5, which the
-    box plots of plotting libraries use. ``by`` names at least one column. A bracket that turns out not to hold its
-    ranks (tiny groups, or a sketch off by more than its bound) is widened to the whole group, so the result is exact.
+    box plots of plotting libraries use. ``by`` names at least one column.
+
+    A pass reads the values once and combines its counts map-side. Passes end when no wanted rank lies in a part of over
+    ``most`` rows, after four at the latest: then a part holds one value. At most ``most`` values of a part are ranked
+    in one task, however many rows a group has.
     """
     if method not in METHODS:
         raise ValueError(f"unknown quantile method {method!r}")
     by, probabilities = list(by), list(probabilities)
     each = range(len(probabilities))
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    keyed = rows.withColumn("_bits", ordered_bits("_x"))
 
-    # Pass 1: one bracket per group and probability.
-    ends = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-MARGIN, MARGIN)]
-    sketch = rows.groupBy(*by).agg(
-        F.percentile_approx("_x", F.array(*[F.lit(p) for p in ends]), F.lit(ACCURACY)).alias("_ends"),
-        F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.count(F.lit(1)).alias("_total"),
-    )
-    brackets = settle(sketch.select(
-        *by, "_min", "_max", "_total",
-        *[F.get("_ends", F.lit(2 * i)).alias(f"_lo{i}") for i in each],
-        *[F.get("_ends", F.lit(2 * i + 1)).alias(f"_hi{i}") for i in each],
-    ), "brackets")
-    groups = brackets.count()
-
-    def rank_of(p: float):
+    def rank_of(p: float) -> Column:
         last = (F.col("_total") - 1).cast("double")
         exact = last * F.lit(p) if method == "continuous" else F.col("_total") * F.lit(p) - 0.5
         return F.greatest(F.lit(0.0), F.least(exact, last))
 
-    def inside(i: int):
-        return F.col("_x").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-
-    # Pass 2: exact number of rows below and inside each bracket, all of it combined map-side.
-    counts = with_group_values(rows, by, brackets, groups).groupBy(*by).agg(
-        *[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in each],
-        *[F.count_if(inside(i)).alias(f"_inside{i}") for i in each],
-    )
-    checked = with_group_values(brackets, by, counts, groups)
-    for i, p in enumerate(probabilities):
-        holds = (F.floor(rank_of(p)) >= F.col(f"_below{i}")) & (
-            F.ceil(rank_of(p)) < F.col(f"_below{i}") + F.col(f"_inside{i}"))
-        checked = checked.withColumns({
-            f"_lo{i}": F.when(holds, F.col(f"_lo{i}")).otherwise(F.col("_min")),
-            f"_hi{i}": F.when(holds, F.col(f"_hi{i}")).otherwise(F.col("_max")),
-            f"_below{i}": F.when(holds, F.col(f"_below{i}")).otherwise(F.lit(0)),
-        })
-    brackets = settle(checked.select(
-        *by, "_total", *[f"_{name}{i}" for i in each for name in ("lo", "hi", "below")]), "brackets")
-
-    # Pass 3: the distinct values inside the brackets, ranked.
-    near = with_group_values(rows, by, brackets, groups)
-    anywhere = F.lit(False)
-    for i in each:
-        anywhere = anywhere | inside(i)
-    hits = near.filter(anywhere).select(*by, "_x", F.explode(F.array_compact(F.array(*[
-        F.when(inside(i), F.struct(F.lit(i).alias("i"), F.col(f"_below{i}").alias("below"), *[
-            side(rank_of(p)).cast("long").alias(name) for name, side in (("lo", F.floor), ("hi", F.ceil))]))
-        for i, p in enumerate(probabilities)
-    ]))).alias("_w"))
-    values = hits.groupBy(*by, "_w", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    running = W.partitionBy(*by, "_w").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    placed = values.withColumn("_end", F.col("_w.below") + F.sum("_n").over(running))
-
-    def at(i: int, side: str):
-        here = (F.col("_w.i") == i) & (F.col(f"_w.{side}") < F.col("_end")) & (
-            F.col(f"_w.{side}") >= F.col("_end") - F.col("_n"))
-        return F.max(F.when(here, F.col("_x"))).alias(f"_{side}{i}")
-
-    found = placed.groupBy(*by).agg(*[at(i, side) for i in each for side in ("lo", "hi")])
-    joined = with_group_values(found, by, brackets.select(*by, "_total"), groups)
-
-    def between(i: int, p: float):
+    def located(counts: DataFrame, wanted: DataFrame, keys) -> DataFrame:
+        """The part of each wanted rank, and the rank within it. ``counts``: keys…, _part, _size."""
+        before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        placed = counts.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        found = with_group_values(placed, keys, wanted)
+        return found.filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size"))).select(
+            *by, "_t", "_side", F.col("_part").alias("_place"), (F.col("_rank") - F.col("_start")).alias("_rank"), "_size")
+
+    shift = 64 - PART_BITS
+    counts = settle(keyed.groupBy(*by, F.shiftright("_bits", shift).alias("_part")).agg(F.count(F.lit(1)).alias("_size")), "parts")
+    totals = settle(counts.groupBy(*by).agg(F.sum("_size").alias("_total")), "totals")
+    ranks = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_t"), F.lit(side).alias("_side"), end(rank_of(p)).cast("long").alias("_rank"))
+        for i, p in enumerate(probabilities) for side, end in (("lo", F.floor), ("hi", F.ceil))]))
+    wanted = settle(located(counts, totals.select(*by, ranks.alias("_w")).select(*by, "_w.*"), by), "ranks")
+
+    def inside(shift: int) -> DataFrame:
+        """The values of the parts that hold wanted ranks; a part that several ranks want is taken once."""
+        parts = wanted.select(*by, "_place").distinct()
+        return with_group_values(keyed.withColumn("_place", F.shiftright("_bits", shift)), [*by, "_place"], parts)
+
+    while shift and (wanted.agg(F.max("_size")).first()[0] or 0) > most:
+        finer = shift - PART_BITS
+        counts = inside(shift).groupBy(*by, "_place", F.shiftright("_bits", finer).alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+        wanted = settle(located(counts, wanted.drop("_size"), [*by, "_place"]), "ranks")
+        shift = finer
+
+    values = inside(shift).groupBy(*by, "_place", F.col("_x").alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    found = located(values, wanted.drop("_size"), [*by, "_place"]).groupBy(*by).agg(*[
+        F.max(F.when((F.col("_t") == i) & (F.col("_side") == side), F.col("_place"))).alias(f"_{side}{i}") for i in each for side in ("lo", "hi")])
+    joined = with_group_values(found, by, totals)
+
+    def between(i: int, p: float) -> Column:
         fraction = rank_of(p) - F.floor(rank_of(p))
-        return (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * fraction).alias(f"q{i}")
+        apart = F.when(fraction == 0, F.lit(0.0)).otherwise((F.col(f"_hi{i}") - F.col(f"_lo{i}")) * fraction)
+        return (F.col(f"_lo{i}") + apart).alias(f"q{i}")
 
     return joined.select(*by, *[between(i, p) for i, p in enumerate(probabilities)])

@@ -60,12 +60,14 @@ def evaluate(df: DataFrame, keep, columns: dict[str, Column]) -> DataFrame:
 
 def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=rules.MODE_RULES,
                   currency_rules=rules.CURRENCY_RULES, rates=None, terms=None) -> DataFrame:
-    """One row per record with all derived columns and ``reason`` (null for a good row).
+    """One row per record with all derived columns, ``reason`` (null for a good row) and ``raw`` (the record's text, null
+    for a good row).
 
     No shuffle: the fields are read, features derived, then it is tested what the store takes. Each step is evaluated
     once per row; a filter on the result is not pushed into it (see :func:`evaluate`).
     """
-    taken = evaluate(records, ["file", "ordinal"], {
+    raw = F.col("raw") if "raw" in records.columns else F.lit(None).cast("string")
+    taken = evaluate(records.select("file", "ordinal", "fields", raw.alias("raw")), ["file", "ordinal", "raw"], {
         "_unreadable": F.col("fields").isNull(),
         "title": text_of(field_sql("title")),
         "company": text_of(field_sql("company")),
@@ -89,8 +91,9 @@ def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=ru
         "_usd": enrich.to_usd("_salary.min", "_salary.max", "country", rates, currency_rules),
         "_folded": enrich.fold_case("_text"),
     })
+    derived = evaluate(derived, derived.columns, {"_words": enrich.dictionary_words("_text", "_folded", terms)})
     shaped = derived.select(
-        "file", "ordinal", "title", "description",
+        "file", "ordinal", "title", "description", F.col("raw").alias("_raw"),
         F.when(F.col("company") == "", rules.DEFAULT_COMPANY).otherwise(F.col("company")).alias("company_name"),
         F.col("_place.city").alias("city"),
         F.col("_place.region").alias("region"),
@@ -104,7 +107,7 @@ def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=ru
         F.col("_usd.min_usd").try_cast(MONEY_USD).alias("salary_min_usd"),
         F.col("_usd.max_usd").try_cast(MONEY_USD).alias("salary_max_usd"),
         F.col("_usd.mid_usd").try_cast(MONEY_USD).alias("salary_mid_usd"),
-        enrich.term_hits("_text", "_folded", terms).alias("terms"),
+        enrich.term_hits("_text", "_folded", "_words", terms).alias("terms"),
         "_unreadable", "_country_not_text", "_salary", "_usd", "_years",
     )
 
@@ -131,8 +134,10 @@ def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=ru
     reason = F
     for label, failed in tests:
         reason = reason.when(F.coalesce(failed, F.lit(False)), label)
-    return shaped.select(
-        *[name for name in shaped.columns if not name.startswith("_")], reason.otherwise(None).alias("reason")
+    checked = shaped.withColumn("reason", reason.otherwise(None))
+    return checked.select(
+        *[name for name in checked.columns if not name.startswith("_")],
+        F.when(F.col("reason").isNotNull(), F.col("_raw")).alias("raw"),
     )
 
 
@@ -155,8 +160,9 @@ def load_report(checked: DataFrame) -> DataFrame:
 
 def tag_terms(df: DataFrame, text_col: str, id_col: str, terms=None) -> DataFrame:
     """(id, term, term_type): one row per dictionary term found in a text, each at most once per row."""
-    folded = df.select(id_col, F.col(text_col).alias("_text"), enrich.fold_case(text_col).alias("_folded"))
-    return explode_terms(folded.select(id_col, enrich.term_hits("_text", "_folded", terms).alias("_t")),
+    folded = evaluate(df, [id_col], {"_text": F.col(text_col), "_folded": enrich.fold_case(text_col)})
+    looked_up = evaluate(folded, folded.columns, {"_words": enrich.dictionary_words("_text", "_folded", terms)})
+    return explode_terms(looked_up.select(id_col, enrich.term_hits("_text", "_folded", "_words", terms).alias("_t")),
                          "_t", id_col)
 
 

@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/hirelake/{label}-{uuid.uuid4().hex}"
 
 
+def checkpointed(spark: SparkSession) -> None:
+    """Have a folder for checkpoints of iterative fits; one that is set already is left as it is."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives executor loss."""
     path = shared_folder(df.sparkSession, label)

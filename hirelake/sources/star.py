@@ -43,7 +43,7 @@ SCHEMAS = {
         ("first_job_id", T.LongType()), ("load_date", T.DateType())),
     "quarantine": _schema(
         ("file", T.StringType()), ("ordinal", T.LongType()), ("reason", T.StringType()), ("title", T.StringType()),
-        ("description", T.StringType()), ("source_url", T.StringType()), required=("reason",)),
+        ("description", T.StringType()), ("source_url", T.StringType()), ("raw", T.StringType()), required=("reason",)),
 }
 
 #: Defaults that an additive schema change gives to rows written before the column existed.

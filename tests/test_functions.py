@@ -1,8 +1,11 @@
 """Row functions on literal inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from hirelake import rules
 from hirelake.functions import display, enrich
 from hirelake.functions.text import amounts_in_text, parse_amounts, split_place, strip, text_of, title_plus_description
 from hirelake.operators.transform import country_of, resolve_salary, tag_terms, whole_years
@@ -92,6 +95,18 @@ def test_terms_of_a_null_text_and_of_own_dictionary(spark):
     assert tags(spark, "It's O'Brien's \\d+", [Term("x", "k", "o'brien"), Term("y", "k", "\\d+")]) == {"x"}
 
 
+def test_terms_by_lookup_equal_terms_by_pattern(spark):
+    words = ["Go", "go", "GO!", "ſql", "SQLſ", "\u212aotlin", "Saß", "SASS", "straße", "r", "R2", "é", "İ", "power", "BI", "bi.", "_sql", "node.js", "C#x", "ΑΣ", "ας"]
+    rnd = random.Random(3)
+    texts = [rnd.choice((" ", "/", ", ")).join(rnd.choice(words) for _ in range(rnd.randint(0, 7))) for _ in range(300)]
+    terms = [*rules.default_terms(), Term("sass", "k", "sass"), Term("strasse", "k", "strasse"), Term("straße", "k", "straße"), Term("é", "k", "É"), Term("as", "k", "ΑΣ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {tuple(r) for r in tag_terms(df, "t", "id", terms).collect()}
+    patterns = df.select("id", F.explode(F.array(*[
+        F.when(F.col("t").rlike(rules.whole_word(t.stem, t.ending)), F.struct(F.lit(t.name).alias("n"), F.lit(t.kind).alias("k"))) for t in terms])).alias("h"))
+    assert got == {(r["id"], r["h"]["n"], r["h"]["k"]) for r in patterns.filter("h IS NOT NULL").collect()} and len(got) > 300
+
+
 def test_amounts_in_text(spark):
     cases = {None: (None, None, False), "": (None, None, False), "N/A": (None, None, False),
              "$80,000 - $100,000": (80000, 100000, False), "1,000 or 250 or 3,000.25": (250, 3000.25, False),

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hirelake.operators import explore, metrics, models, reports
-from hirelake.operators.quantiles import exact_quantiles
+from hirelake.operators.quantiles import exact_quantiles, ordered_bits
 from hirelake.operators.split import exact_split, label_summary
 
 
@@ -165,3 +165,43 @@ def test_scores_without_models(spark):
     request = spark.createDataFrame([("t", "d")], "title string, description string")
     row = models.score_postings(None, None, request).first()
     assert row["job_category"] == "Other" and row["predicted_salary"] is None and row["salary_low"] is None
+
+
+def test_ordered_bits_are_those_of_the_double(spark):
+    import struct
+
+    rnd = random.Random(8)
+    values = [0.0, -0.0, 1.0, 2.0, 0.5, -1.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+    values += [float(np.nextafter(2.0 ** e, side)) for e in (-1022, -3, 0, 1, 10, 52, 1000, 1023) for side in (0, math.inf)]
+    values += [struct.unpack("<d", struct.pack("<q", rnd.getrandbits(63)))[0] * rnd.choice((1, -1)) for _ in range(500)]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", ordered_bits("x").alias("b"))
+    for x, b in df.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert b == (-bits if x < 0 else bits), x
+    assert spark.createDataFrame([(float("nan"),)], "x double").select(ordered_bits("x")).first()[0] == 2 ** 63 - 1
+
+
+def test_selection_ranks_a_bounded_rest(spark):
+    """Ten times the rows, the same bound: with ``most`` at 50 every pass is used, and results stay exact."""
+    for times in (1, 10):
+        rows = spark.range(3000 * times).selectExpr(
+            "cast(id % 3 AS string) AS g", "CASE WHEN id % 3 = 0 THEN 7.25D WHEN id % 3 = 1 THEN sin(id) * pow(10D, id % 600 - 300) ELSE 1D + id * 1e-14D END AS x")
+        table = rows.toPandas()
+        got = {r["g"]: r for r in exact_quantiles(rows, "x", [0.0, 0.3, 0.5, 1.0], ["g"], most=50).collect()}
+        for g, own in table.groupby("g"):
+            assert list(got[g][1:]) == [pytest.approx(q, rel=1e-12) for q in np.quantile(own["x"].to_numpy(), [0.0, 0.3, 0.5, 1.0])]
+
+
+def test_vocabulary_of_words_and_pairs(spark):
+    rnd = random.Random(6)
+    texts = [[rnd.choice("abcdefgh") if rnd.random() < 0.7 else f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(40))] for _ in range(120)]
+    counts = {}
+    for words in texts:
+        for term in [*words, *(f"{x} {y}" for x, y in zip(words, words[1:]))]:
+            counts[term] = counts.get(term, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "words array<string>")
+    for size in (1, 5, 9, 40, 150, 100_000):
+        want = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:size]
+        assert [tuple(r) for r in models.vocabulary(df, "words", size).collect()] == want
+    assert models.vocabulary(df.limit(0), "words", 5).count() == 0

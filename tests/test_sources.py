@@ -6,7 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import text_of
-from hirelake.sources.lake import field, field_sql, format_of, has_field, read_lake
+from hirelake.operators.transform import check_records
+from hirelake.sources.lake import explode_documents, field, field_sql, format_of, has_field, read_lake
 from hirelake.sources.payload import flatten_payload
 from hirelake.sources.sinks import append_raw_lake, export_csv, union_batches
 
@@ -87,3 +88,47 @@ def test_union_is_by_name_and_keeps_duplicates(spark):
     a = spark.createDataFrame([(1, "x")], "i int, s string")
     b = spark.createDataFrame([("x", 1), ("y", 2)], "s string, i int")
     assert sorted(map(tuple, union_batches(a, b).collect())) == [(1, "x"), (1, "x"), (2, "y")]
+
+
+def records_of(spark, *documents):
+    df = spark.createDataFrame([(str(i), d) for i, d in enumerate(documents)], "file string, value string")
+    rows = explode_documents(df).select("file", "ordinal", text_of(field_sql("a")).alias("a"), F.col("fields").isNull().alias("bad"), "raw")
+    return [tuple(r)[1:] for r in rows.orderBy("file", "ordinal").collect()]
+
+
+def test_a_broken_line_takes_no_other_line_with_it(spark):
+    lines = [f'{{"a": {i}}}' for i in range(10)]
+    for place in (0, 4, 9):
+        broken = [*lines]
+        broken[place] = '{"a": '
+        got = records_of(spark, "\r\n".join(broken) + "\n\n")
+        assert [g[3] for g in got] == broken and [g[2] for g in got] == [i == place for i in range(10)]
+        assert [g[1] for g in got if not g[2]] == [str(i) for i in range(10) if i != place]
+
+
+def test_text_behind_a_value_is_not_lost_in_silence(spark):
+    for text in ('{"a": 1} x', '{"a": 1} {"a": 2}', '{"a": 1}, {"a": 2}', '{"a": 1}]', '{"a": 1}}', '[{"a": 1}', '[{"a": 1}\n{"a": 2}\n', "x", "5", "null"):
+        assert records_of(spark, text) == [(0, "", True, text)], text
+    assert records_of(spark, '{"a": 1}\nx\n5\n{"a": 2} {"a": 3}') == [
+        (0, "1", False, '{"a": 1}'), (1, "", True, "x"), (2, "", True, "5"), (3, "", True, '{"a": 2} {"a": 3}')]
+
+
+def test_documents_over_several_lines_stay_whole(spark):
+    assert [r[:3] for r in records_of(spark, '{\n "a": [\n  {"b": 1}\n ]\n}')] == [(0, '[{"b":1}]', False)]
+    assert [r[1] for r in records_of(spark, '\n[\n{"a": 1},\n{"a": 2}\n]\n')] == ["1", "2"]
+    assert [r[1] for r in records_of(spark, '{"results":\n[{"a": 1},\n{"a": 2}\n]}')] == ["1", "2"]
+    assert records_of(spark, "[]") == [] and records_of(spark, "") == [(0, "", True, "")]
+
+
+def test_the_last_of_equal_keys_counts(spark):
+    got = records_of(spark, '[{"a": 1, " A ": 2}, {"A": 1, "a": null}, {"a": 1, "b": 5, "a\\u00a0": "x", "B": 6}]')
+    assert [g[1] for g in got] == ["2", "", "x"]
+
+
+def test_broken_records_keep_their_text(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"title": "t"}\n{"title": \n{"title": " ", "company": "c"}\n')
+    (tmp_path / "y.csv").write_text('Title,Company\n" ","a, ""b"""\n')
+    rows = check_records(read_lake(spark, str(tmp_path))).select("reason", "raw").collect()
+    assert {tuple(r) for r in rows} == {
+        (None, None), ("unreadable record", '{"title": '), ("blank title", '{"title": " ", "company": "c"}'),
+        ("blank title", '{"Title":" ","Company":"a, \\"b\\""}')}
