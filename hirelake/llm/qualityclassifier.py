@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import binary, bounded, documents, reachable, settle
-from hirelake.llm.wordvectors import WordVectors, corpus_sums
+from hirelake.llm.wordvectors import TEXT_BYTES, WordVectors, corpus_sums
 
 #: Labelled documents that a fit reads at most: those of the lowest hashes of doc_id.
 FIT_ROWS = 20_000
@@ -93,7 +93,7 @@ class QualityModel:
         vectors, network = self.vectors, self.network
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in bounded(batches):
+            for batch in bounded(batches, limit=TEXT_BYTES):
                 scores = network.scores(vectors.pooled(binary(batch.column("text"))))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
@@ -120,7 +120,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     vectors = WordVectors(corpus_sums(texts))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=TEXT_BYTES):
             rows = vectors.pooled(binary(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(rows), pa.list_(pa.float64()))],
                                              ["doc_id", "label", "features"])

@@ -16,6 +16,8 @@ from hirelake.llm.common import binary, bounded, reachable, settle
 SLOTS, WIDTH, SPARK, WINDOW = 1 << 15, 32, 4, 2
 #: Share of all tokens at which a word counts half in a document's mean.
 HALF = 1e-3
+#: Octets of text that are taken apart at once, tokens that are pooled at once.
+TEXT_BYTES, TOKENS = 1 << 20, 1 << 15
 #: Parts in which tasks hand over their sums, and groups of tasks that are added up first.
 PARTS, GROUPS = 64, 16
 
@@ -99,7 +101,7 @@ def corpus_sums(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         total, any_rows = np.zeros((SLOTS, WIDTH + 1)), False
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=TEXT_BYTES):
             total += neighbour_sums(*tokens(binary(batch.column("text"))), places, signs)
             any_rows = True
         if any_rows:
@@ -147,17 +149,18 @@ class WordVectors:
         document, slot = tokens(texts)
         n, out = len(texts), np.zeros((len(texts), self.FEATURES))
         weight = self.weight[slot].astype(float)
-        whole = np.maximum(np.bincount(document, weight, n), 1e-9)
-        first = np.flatnonzero(np.diff(document, prepend=-1))
-        if not len(first):
-            return out
-        some = document[first]
-        weighted = self.vectors[slot] * weight[:, None]
-        mean = np.add.reduceat(weighted, first, axis=0) / whole[some, None]
-        square = np.add.reduceat(weighted * self.vectors[slot], first, axis=0) / whole[some, None]
-        again = np.zeros(len(slot))
-        again[1:] = (slot[1:] == slot[:-1]) & (document[1:] == document[:-1])
-        number = np.bincount(document, minlength=n)[some]
-        out[some] = np.concatenate((mean, np.sqrt(np.maximum(0, square - mean ** 2)), np.linalg.norm(mean, axis=1)[:, None],
-                                    np.log1p(number)[:, None], (np.add.reduceat(again, first) / number)[:, None]), axis=1)
+        whole = np.maximum(np.bincount(document, weight, n), 1e-9)[:, None]
+        mean, square = np.zeros((n, WIDTH)), np.zeros((n, WIDTH))
+        for at in range(0, len(slot), TOKENS):  # a bounded number of vectors at a time, also of one long text
+            own, vectors = document[at:at + TOKENS], self.vectors[slot[at:at + TOKENS]]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            weighted = vectors * weight[at:at + TOKENS, None]
+            mean[own[first]] += np.add.reduceat(weighted, first, axis=0)
+            square[own[first]] += np.add.reduceat(weighted * vectors, first, axis=0)
+        mean, square = mean / whole, square / whole
+        again = np.flatnonzero((slot[1:] == slot[:-1]) & (document[1:] == document[:-1]))
+        number = np.bincount(document, minlength=n)
+        out[:, :WIDTH], out[:, WIDTH:2 * WIDTH] = mean, np.sqrt(np.maximum(0, square - mean ** 2))
+        out[:, -3], out[:, -2] = np.linalg.norm(mean, axis=1), np.log1p(number)
+        out[:, -1] = np.bincount(document[again], minlength=n) / np.maximum(1, number)
         return out
