@@ -92,7 +92,12 @@ def resolve_dim(rows: DataFrame, dim: DataFrame, key_cols, id_col: str, order_co
     The rows are read once, for their spellings. The mapping is a written table, so the planner knows its size: a
     small one is broadcast to the facts without shuffling them.
     """
-    spelled = settle(spellings(rows, key_cols, order_col, keep), "spellings")
+    return resolve_spelled(settle(spellings(rows, key_cols, order_col, keep), "spellings"), dim, key_cols, id_col, keep, start, collation)
+
+
+def resolve_spelled(spelled: DataFrame, dim: DataFrame, key_cols, id_col: str, keep=(), start: int | None = None,
+                    collation: str = COLLATION) -> tuple[DataFrame, DataFrame]:
+    """:func:`resolve_dim` for distinct spellings that were collected before (see :func:`spellings`)."""
     if start is None:
         start = dim.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
     added = sequential_ids(new_members(spelled, dim, key_cols, keep, collation), id_col, ["first_seen"], start)

@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.operators.keys import attach_id, number_rows, resolve_dim
+from hirelake.operators.keys import attach_id, number_rows, resolve_spelled, spellings
 from hirelake.operators.transform import explode_terms
-from hirelake.session import settle, shared_folder
-from hirelake.sources.star import DEFAULTS, SCHEMAS, Star, align_to_schema
+from hirelake.session import scratch, settle, shared_folder
+from hirelake.sources.star import Star, replaced
 
 PLACE = ("city", "region", "country")
 
 
-def _reserve(star: Star, load_id: str, staged_good: DataFrame, staged_bad: DataFrame, load_date: dt.date):
-    """(first id offset, load date) of this load, written to the log before any posting.
+def _reserved(star: Star, state: dict, load_id: str, good: int, bad: int, load_date: dt.date) -> dict:
+    """The log entry of this load in ``state``, which is changed to hold it.
 
     A repeated load of as many records finds its own entry and uses the same ids and date. A repeat with other counts
     keeps its date, but gets a new range behind all others, which replaces its entry: ids are never given twice. A
     later load starts behind an earlier one even when that never finished.
     """
-    log = star.stored("load_log")
-    good, bad = staged_good.count(), staged_bad.count()
-    own = log.filter(F.col("load_id") == load_id).first()
-    if own is not None:
-        load_date = own["load_date"]
-        if (own["inserted"], own["skipped"]) == (good, bad):
-            return own["first_job_id"] - 1, load_date
-    last = log.agg(F.coalesce(F.max(F.col("first_job_id") + F.col("inserted") - 1), F.lit(0)).alias("n")).first()["n"]
-    entry = star.spark.range(1).select(
-        F.lit(good + bad).alias("records_read"), F.lit(good).alias("inserted"), F.lit(bad).alias("skipped"),
-        F.lit(last + 1).alias("first_job_id"), F.lit(load_date).alias("load_date"),
-    )
-    star.write(entry, "load_log", load_id)
-    return last, load_date
+    own = state["loads"].get(load_id)
+    if own is None:
+        logged = star.stored("load_log").filter(F.col("load_id") == load_id).drop("load_id").first()
+        own = logged and {**logged.asDict(), "load_date": logged["load_date"].isoformat(), "name": None}
+    if own and (own["inserted"], own["skipped"]) == (good, bad):
+        return state["loads"].setdefault(load_id, own)
+    entry = {"records_read": good + bad, "inserted": good, "skipped": bad, "first_job_id": state["last_job_id"] + 1,
+             "load_date": own["load_date"] if own else load_date.isoformat(), "name": own["name"] if own else None}
+    state["loads"][load_id], state["last_job_id"] = entry, state["last_job_id"] + good
+    return entry
 
 
 def load_star(checked: DataFrame, star: Star, load_date: dt.date, load_id: str | None = None,
@@ -44,56 +41,66 @@ def load_star(checked: DataFrame, star: Star, load_date: dt.date, load_id: str |
     """Append checked rows (see ``check_records``) to the star; returns the log entry of this load.
 
     Postings are never deduplicated: loading the same records under a new ``load_id`` doubles them, repeating a
-    ``load_id`` replaces that load. The rows are parsed once and staged in the shared folder. Dimensions are written
-    first and postings last, so an interrupted load leaves no posting with a dangling key. Bad rows are kept in the
-    table ``quarantine`` with their file, place in it, reason and text. Dimension rows are only ever
-    added: a repeat keeps the ids that it gave before, because later loads may use them. One load at a time may run on
-    a star: ids are reserved by reading the log and then writing to it.
+    ``load_id`` replaces that load. Bad rows are kept in the table ``quarantine`` with their file, place, reason and text.
+
+    The rows are parsed once and staged in the shared folder, which is cleared at the end. There are two commits. The
+    first adds new dimension members and takes the range of posting ids; it holds for the state that the members were
+    looked up in, so if another load committed meanwhile this step (distinct spellings only, not the postings) is done
+    again. The second shows the load's postings, links and bad rows all at once. Several loads may run on a star: ids
+    are dense and unique, and no reader sees part of a load. Dimension rows are only ever added: a repeat keeps the ids
+    that it gave before, because later loads may use them.
     """
-    spark = star.spark
-    load_id = load_id or uuid.uuid4().hex
+    with scratch(star.spark):
+        return _load(checked, star.create(), load_date, load_id or uuid.uuid4().hex, scraped_at)
+
 
+def _load(checked: DataFrame, star: Star, load_date: dt.date, load_id: str, scraped_at: dt.datetime | None) -> DataFrame:
+    spark = star.spark
     stage = shared_folder(spark, "stage")
     staged = checked.withColumn("status", F.when(F.col("reason").isNull(), "good").otherwise("bad"))
     staged.sortWithinPartitions("status", "file", "ordinal").write.partitionBy("status").parquet(stage)
     staged = spark.read.schema(staged.schema).parquet(stage)
     good, bad = staged.filter("status = 'good'"), staged.filter("status = 'bad'")
-
-    before, load_date = _reserve(star, load_id, good, bad, load_date)
-    good = number_rows(good, "job_id", before)
-
-    def add(added: DataFrame, table: str) -> None:
-        own = star.stored(table).filter(F.col("load_id") == load_id).drop("load_id")
-        aligned = align_to_schema(added, SCHEMAS[table], DEFAULTS.get(table))
-        star.write(settle(own.unionByName(aligned), "members"), table, load_id)
-
-    companies, company_ids = resolve_dim(good, star.table("companies"), ["company_name"], "company_id", "job_id")
-    add(companies, "companies")
-
-    placed = good.filter(F.col("city").isNotNull())
-    locations, location_ids = resolve_dim(placed, star.table("locations"), list(PLACE), "location_id", "job_id")
-    add(locations, "locations")
-
-    tags = explode_terms(good, "terms", "job_id").withColumnsRenamed(
-        {"term": "skill_name", "term_type": "skill_category"}
-    )
-    skills, skill_ids = resolve_dim(tags, star.table("skills"), ["skill_name"], "skill_id", "job_id",
-                                    keep=["skill_category"])
-    add(skills, "skills")
+    counts = good.count(), bad.count()
+    good = number_rows(good, "_place")
+    tags = explode_terms(good, "terms", "_place").withColumnsRenamed({"term": "skill_name", "term_type": "skill_category"})
+
+    members = {  # distinct spellings, with the place where each occurs first
+        "companies": (good, ["company_name"], "company_id", ()),
+        "locations": (good.filter(F.col("city").isNotNull()), list(PLACE), "location_id", ()),
+        "skills": (tags, ["skill_name"], "skill_id", ["skill_category"]),
+    }
+    spelled = {table: settle(spellings(rows, keys, "_place", keep), "spellings") for table, (rows, keys, _, keep) in members.items()}
+    while True:
+        number, state = star.current()
+        before = star.at(copy.deepcopy(state))
+        entry, ids, written = _reserved(before, state, load_id, *counts, load_date), {}, []
+        for table, (_, keys, id_col, keep) in members.items():
+            added, ids[table] = resolve_spelled(spelled[table], before.table(table), keys, id_col, keep)
+            if not added.isEmpty():
+                written.append((table, star.put_rows(added, table, load_id)))
+                state["live"].setdefault(table, []).append(written[-1][1])
+        if star.try_commit(number, state):
+            break
+        for table, name in written:
+            star.drop(table, name)
 
     # Terms are distinct within a posting and job ids are new, so only spellings that fold together can repeat a pair.
-    links = attach_id(tags, skill_ids, ["skill_name"]).select("job_id", "skill_id")
-    if skill_ids.agg((F.count(F.lit(1)) > F.count_distinct("skill_id")).alias("folds")).first()["folds"]:
+    job_id = (F.col("_place") + (entry["first_job_id"] - 1)).alias("job_id")
+    links = attach_id(tags, ids["skills"], ["skill_name"]).select(job_id, "skill_id")
+    if ids["skills"].agg((F.count(F.lit(1)) > F.count_distinct("skill_id")).alias("folds")).first()["folds"]:
         links = links.dropDuplicates(["job_id", "skill_id"])
-    star.clear("quarantine", load_id)
-    star.write(bad, "quarantine", load_id)
-    star.clear("job_skills", load_id)
-    star.write(links, "job_skills", load_id)
-
-    postings = attach_id(good, company_ids, ["company_name"])
-    postings = attach_id(postings, location_ids, PLACE, "left")
-    star.clear("job_postings", load_id)
+    postings = attach_id(attach_id(good, ids["companies"], ["company_name"]), ids["locations"], PLACE, "left")
     stamp = F.lit(scraped_at) if scraped_at is not None else F.current_timestamp()
-    star.write(postings.withColumn("posted_date", F.lit(load_date)).withColumn("scraped_at", stamp),
-               "job_postings", load_id)
-    return star.stored("load_log").filter(F.col("load_id") == load_id)
+    postings = postings.withColumns({
+        "job_id": job_id, "posted_date": F.lit(dt.date.fromisoformat(entry["load_date"])), "scraped_at": stamp})
+    names = {table: star.put_rows(rows, table, load_id)
+             for table, rows in (("quarantine", bad), ("job_skills", links), ("job_postings", postings))}
+
+    def shown(state: dict) -> dict:
+        for table, name in names.items():
+            state = replaced(state, table, load_id, name)
+        state["loads"][load_id] = {**entry, "name": names["job_postings"]}
+        return state
+
+    return star.at(star.commit(shown)).stored("load_log").filter(F.col("load_id") == load_id)

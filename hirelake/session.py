@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH = threading.local()
+
 
 def build_session(app: str = "hirelake", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the library is tested under.
@@ -39,7 +44,25 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-    return f"{base.rstrip('/')}/hirelake/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/hirelake/{label}-{uuid.uuid4().hex}"
+    for folders in getattr(_SCRATCH, "open", ())[-1:]:
+        folders.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that this thread takes from :func:`shared_folder` inside are deleted at the end, also after an error.
+    What is still needed then has to be written elsewhere before."""
+    stack = _SCRATCH.open = getattr(_SCRATCH, "open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in stack.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def checkpointed(spark: SparkSession) -> None:

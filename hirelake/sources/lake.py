@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from hirelake import rules
 from hirelake.functions.text import let_sql, quoted, strip, strip_sql
+from hirelake.sources.manifest import Files
 
+#: Names of the files that a lake folder is read for.
+JSON_FILES, CSV_FILES = "*.[jJ][sS][oO][nN]", "*.[cC][sS][vV]"
+LAKE_FILES = f"{{{JSON_FILES},{CSV_FILES}}}"
 RECORD_COLUMNS = ("file", "ordinal", "fields", "raw")
 
 
@@ -130,15 +134,16 @@ def read_lake(spark: SparkSession, path, fmt: str | None = None) -> DataFrame:
 
     ``fmt``: ``json`` (a document, or JSON Lines, per file), ``lines`` (JSON Lines: splittable, the form our own sink
     writes) or ``csv`` (header, quoted line breaks allowed, each file by its own header). Without it the suffix of each
-    file decides: .json or else CSV; in a folder, at any depth, files ending in .json and in .csv are read.
+    file decides: .json or else CSV; in a folder, at any depth, files ending in .json and in .csv are read. What is a
+    folder the file system says, whatever its name.
     """
     paths = [path] if isinstance(path, str) else list(path)
     origin = F.col("_metadata.file_path").alias("file")
     if fmt is None:
-        folders = [p for p in paths if "." not in p.rstrip("/").rpartition("/")[2]]
+        folders = [p for p in paths if Files(spark, p).is_folder(p)]
         files = [p for p in paths if p not in folders]
         parts = []
-        for kind, glob in (("json", "*.[jJ][sS][oO][nN]"), ("csv", "*.[cC][sS][vV]")):
+        for kind, glob in (("json", JSON_FILES), ("csv", CSV_FILES)):
             own, options = [p for p in files if format_of(p) == kind], {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
             if own:
                 parts.append(read_lake(spark, own, kind))

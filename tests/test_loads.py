@@ -2,11 +2,16 @@
 
 import datetime as dt
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
 
 from hirelake.operators.integrity import integrity_report
 from hirelake.operators.load import load_star
 from hirelake.operators.transform import check_records
 from hirelake.sources.lake import field, read_lake
+from hirelake.sources.manifest import Manifest
 from hirelake.sources.sinks import append_raw_lake
 from hirelake.sources.star import Star
 from hirelake.streaming.incremental import run_incremental
@@ -85,3 +90,106 @@ def test_rows_of_before_a_column_read_its_default(spark, tmp_path):
     star.write(spark.createDataFrame([(2, "b", None)], "location_id long, city string, country string"), "locations", "new")
     rows = {r["city"]: (r["region"], r["country"]) for r in star.table("locations").collect()}
     assert rows == {"a": (None, "India"), "b": (None, None)}
+
+
+def test_a_load_that_stops_shows_nothing(spark, tmp_path, monkeypatch):
+    star = Star(spark, str(tmp_path / "star")).create()
+    load_star(checked(spark, tmp_path / "one", [posting(i) for i in range(3)]), star, DAY, "one")
+    seen = [tuple(sorted(map(tuple, star.table(t).collect()))) for t in ("job_postings", "job_skills", "quarantine")]
+    two = checked(spark, tmp_path / "two", [posting(i, "Java") for i in range(5)] + [{"title": ""}])
+    commit = Star.commit
+
+    def stop(self, change):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Star, "commit", stop)  # all files of the load are written, its last commit is not
+    for load in ("two", "one"):
+        with pytest.raises(KeyboardInterrupt):
+            load_star(two, star, DAY, load)
+        assert [tuple(sorted(map(tuple, star.table(t).collect()))) for t in ("job_postings", "job_skills", "quarantine")] == seen
+    monkeypatch.setattr(Star, "commit", commit)
+    load_star(two, star, DAY, "two")
+    assert star.table("job_postings").count() == 8 and star.table("quarantine").count() == 1 and not faults(star)
+    assert sorted(r[0] for r in star.stored("job_postings").filter("load_id = 'two'").select("job_id").collect()) == list(range(4, 9))
+
+
+def test_two_loads_at_once(spark, tmp_path):
+    """Members that both bring are made once, ids are dense and unique, whichever load commits first."""
+    star = Star(spark, str(tmp_path / "star")).create()
+    inputs = [checked(spark, tmp_path / name, [{**posting(i), "company": c, "location": p} for i, (c, p) in enumerate(rows)]) for name, rows in (
+        ("a", [("Acme", "X"), ("Beta", "Y"), ("acmé", "X")]), ("b", [("ACME", "x"), ("Gamma", "Y"), ("beta", "Z")]), ("c", [("Gamma", "Q")] * 4))]
+    with ThreadPoolExecutor(3) as pool:
+        for done in [pool.submit(load_star, rows, star, DAY, f"load{i}") for i, rows in enumerate(inputs)]:
+            done.result()
+    assert sorted(r[0] for r in star.table("job_postings").select("job_id").collect()) == list(range(1, 11))
+    assert sorted(r.company_id for r in star.table("companies").collect()) == [1, 2, 3]
+    assert sorted(r.location_id for r in star.table("locations").collect()) == [1, 2, 3, 4]
+    assert not faults(star)
+
+
+def test_compaction_keeps_reports_and_leaves_one_partition(spark, tmp_path):
+    star = Star(spark, str(tmp_path / "star")).create()
+    work = tmp_path / "work"
+    for i in range(6):
+        rows = checked(spark, tmp_path / f"f{i}", [posting(i), posting(i + 1, "Java, Go"), {"title": " "}])
+        load_star(rows, star, DAY + dt.timedelta(days=i % 2), f"load{i}")
+    tables = ("companies", "locations", "skills", "job_postings", "job_skills", "quarantine", "load_log")
+    contents = lambda: [sorted(map(repr, star.stored(t).collect())) for t in tables]
+    before, held = contents(), star.snapshot()
+    assert set(star.compact()) == set(tables) - {"skills"}  # all skills came with the first load
+    assert contents() == before and star.compact() == []
+    assert held.table("job_postings").count() == 12  # a reader of the state before still finds its files
+    assert star.vacuum() > 0 and contents() == before
+    names = {p.name for p in (tmp_path / "star" / "companies").iterdir() if p.name.startswith("load_id=")}
+    assert len(names) == 1 and len(list((tmp_path / "star" / "job_postings").glob("posted_date=*/load_id=*"))) == 2
+    load_star(checked(spark, tmp_path / "again", [posting(0), posting(9), {"title": ""}]), star, DAY, "load0")  # of a compacted load
+    assert star.table("job_postings").count() == 12 and star.table("quarantine").count() == 6 and not faults(star)
+    assert sorted(r[0] for r in star.stored("job_postings").filter("load_id = 'load0'").select("job_id").collect()) == [1, 2]
+    after = contents()
+    star.compact()
+    assert contents() == after and star.current()[1]["gone"] == {} and not work.exists()
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    folder = os.path.join(base.removeprefix("file:"), "hirelake")
+    star = Star(spark, str(tmp_path / "star")).create()
+    rows = checked(spark, tmp_path / "one", [posting(i) for i in range(3)])
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    log = load_star(rows, star, DAY, "one")
+    append_raw_lake(spark.createDataFrame([tuple(posting(5).values())], list(posting(0))), str(tmp_path / "lake"), "2026-01-02")
+    run_incremental(spark, str(tmp_path / "lake"), star.root, str(tmp_path / "mark"), DAY)
+    assert set(os.listdir(folder) if os.path.isdir(folder) else ()) == before
+    assert log.first()["inserted"] == 3 and star.table("job_postings").count() == 4
+
+
+def test_manifest_states_are_created_once(spark, tmp_path):
+    manifest = Manifest(spark, str(tmp_path / "m"))
+    assert manifest.latest() is None
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: manifest.put(1, {"by": i}), range(8)))
+    assert sum(won) == 1 and manifest.latest() == (1, {"by": won.index(True)})
+    for number in range(2, 15):
+        assert manifest.put(number, {"n": number})
+    manifest.forget(3)
+    assert manifest.latest() == (14, {"n": 14}) and len(list((tmp_path / "m").iterdir())) == 3
+
+
+def test_stream_of_mixed_files(spark, tmp_path):
+    lake, root, mark = tmp_path / "lake.v1" / "2026.01", str(tmp_path / "star"), str(tmp_path / "mark")
+    lake.mkdir(parents=True)
+    (lake / "a.json").write_text(json.dumps({"results": [posting(0), posting(1)]}, indent=1))
+    (lake / "b.JSON").write_text("\n".join([json.dumps(posting(2)), "{", json.dumps(posting(3))]))
+    (lake / "c.csv").write_text('company,title\nc4,"t4, ""x"""\n')
+    (lake / "d.CSV").write_text('Title,Company,Location\nt5,c5,"l5\n, r"\n')
+    (lake / "e.txt").write_text("title\nno posting\n")
+    (lake / "f.json.tmp").write_text(json.dumps(posting(99)))
+    run_incremental(spark, str(tmp_path / "lake.v1"), root, mark, DAY)
+    star = Star(spark, root)
+    assert sorted(r.title for r in star.table("job_postings").collect()) == ["t0", "t1", "t2", "t3", 't4, "x"', "t5"]
+    assert [r.raw for r in star.table("quarantine").collect()] == ["{"]
+    (lake / "g.csv").write_text("title\nt6\nt7\n")
+    for _ in range(2):
+        run_incremental(spark, str(tmp_path / "lake.v1"), root, mark, DAY, files_per_batch=1)
+    assert star.table("job_postings").count() == 8 and star.stored("load_log").count() == 2 and not faults(star)
+    assert read_lake(spark, str(tmp_path / "lake.v1")).count() == 9
