@@ -169,6 +169,45 @@ def links_in_runs(values: np.ndarray, at: np.ndarray, radius: int,
     return found[:, 0], found[:, 1]
 
 
+def close_pairs(values: np.ndarray, at: np.ndarray, radius: int, asks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): for each value that ``asks``, the other values within ``radius`` in its run, some of them at a time."""
+    left, right = _close_in_short_runs(values, at, radius)
+    for i, j in ((left, right), (right, left)):
+        chosen = asks[i]
+        order = np.argsort(i[chosen], kind="stable")
+        own, other = i[chosen][order], j[chosen][order]
+        cuts = np.flatnonzero(np.diff(own, prepend=-1))
+        for lo, hi in zip(cuts.tolist(), np.append(cuts, len(own))[1:].tolist()):
+            yield int(own[lo]), other[lo:hi]
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        if hi - lo > SHORT and asks[lo:hi].any():
+            block, asking = Planes(values[lo:hi]), lo + np.flatnonzero(asks[lo:hi])
+            step = max(1, min(1 << 10, (1 << 22) // (hi - lo)))
+            for start in range(0, len(asking), step):
+                some = asking[start:start + step]
+                for i, row in zip(some.tolist(), block.close(values[some], radius)):
+                    near = lo + lanes(row, block.n)
+                    yield i, near[near != i]
+
+
+class Roots:
+    """Groups of numbers, joined as links are found."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, i: int) -> int:
+        root = i
+        while (up := self.up.get(root, root)) != root:
+            root = up
+        while (up := self.up.get(i, i)) != root and up != i:
+            self.up[i], i = root, up
+        return root
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.top(j)] = self.top(i)
+
+
 def with_partner(values: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
     """Indices of the values that have another value within ``radius`` in their run."""
     out = [np.concatenate(_close_in_short_runs(values, at, radius))]
@@ -183,11 +222,12 @@ def with_partner(values: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).astype(np.int64)
 
 
-def block_masks(radius: int, blocks: int) -> list[int]:
-    """Masks of the bits that agree in some choice of ``blocks - radius`` blocks: two values within ``radius`` differ
-    in at most ``radius`` blocks, so they are equal under one mask at least."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [sum(1 << b for b in range(lo, hi)) for lo, hi in itertools.pairwise(edges)]
+def block_masks(radius: int, blocks: int, bits: list[int] | None = None) -> list[int]:
+    """Masks of the bits that agree in some choice of ``blocks - radius`` blocks of ``bits`` (all 64): two values within
+    ``radius`` differ in at most ``radius`` blocks, so they are equal under one mask at least."""
+    bits = list(range(64)) if bits is None else bits
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in bits[lo:hi]) for lo, hi in itertools.pairwise(edges)]
     return [sum(chosen) for chosen in itertools.combinations(parts, blocks - radius)]
 
 
@@ -195,32 +235,41 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def buckets(values: DataFrame, fingerprint: str, radius: int, blocks: int, most: int, label: str) -> DataFrame:
-    """The rows of ``values`` once for each bucket that holds several of them: further columns bucket, low, high.
+#: Blocks beyond the radius into which the free bits of a large bucket are cut.
+FINER = 3
+#: Fingerprints that one counted stands for at most, by hash; counts only decide how buckets are dealt, not what is found.
+COUNTED = 16
 
-    A bucket is a mask and the bits under it. Buckets are counted first (summed before the shuffle); a single row is
-    not moved any further. A bucket of over ``most`` rows is dealt into chunks by hash and its pairs of chunks
-    (low, high) become groups of their own, so that no group holds over about twice ``most`` rows and no pair is lost.
+
+def buckets(values: DataFrame, fingerprint: str, radius: int, blocks: int, most: int, label: str) -> DataFrame:
+    """The rows of ``values`` once for each bucket they belong to: a further column bucket, a hash. Fingerprints are
+    distinct.
+
+    A bucket is a mask and the bits under it. In a bucket of over ``most`` rows all rows agree under its mask, so what
+    differs lies in its free bits: these are cut into blocks in turn, and the rows are dealt by what agrees there. No pair
+    within ``radius`` is lost, and a row is repeated a fixed number of times, not once for each part of its bucket.
+    Distinct fingerprints cannot be many after that, as few bits are left free. Buckets are counted before anything is
+    moved (summed before the shuffle), so a hot one never reaches one task.
     """
-    def key(t: int, mask: int) -> Column:
-        return F.struct(F.lit(t).alias("mask"), F.col(fingerprint).bitwiseAND(F.lit(_signed(mask))).alias("bits"))
+    masks = block_masks(radius, blocks)
+    free = [[b for b in range(64) if not mask >> b & 1] for mask in masks]
+    finer = [[_signed(m) for m in block_masks(radius, radius + FINER, bits)] for bits in free]
+
+    def key(mask: int, t: int) -> Column:
+        return F.struct(F.lit(t).alias("mask"), F.xxhash64(F.lit(t), F.col(fingerprint).bitwiseAND(F.lit(_signed(mask)))).alias("bucket"))
 
-    keys = F.explode(F.array(*(key(t, mask) for t, mask in enumerate(block_masks(radius, blocks)))))
-    counts = settle(
-        values.select(keys.alias("bucket")).groupBy("bucket.mask", "bucket.bits").agg(F.count("*").alias("rows"))
-        .filter("rows > 1"), label)
-    chunks = F.ceil(F.col("rows") / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), fingerprint), F.col("chunks")).cast("int")
-    dealt = (values.withColumn("bucket", keys).select("*", "bucket.mask", "bucket.bits").drop("bucket")
-             .join(counts.hint("shuffle_hash"), ["mask", "bits"])
-             .withColumn("chunks", chunks).withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
-    return (dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-            .withColumn("bucket", F.xxhash64("mask", "bits", "low", "high"))
-            .drop("own", "other", "chunks", "rows", "low", "high"))
+    keys = F.explode(F.array(*(key(mask, t) for t, mask in enumerate(masks)))).alias("of")
+    rows = values.select("*", keys).select("*", "of.mask", "of.bucket").drop("of")
+    share = max(1, min(COUNTED, most // 256))
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(5), fingerprint), F.lit(share)) == 0) if share > 1 else rows
+    large = settle(some.select("bucket").groupBy("bucket").agg((F.count("*") * share).alias("rows")).filter(F.col("rows") > most), label)
+    literal = ", ".join(f"array({', '.join(f'{m}L' if m > -(1 << 63) else 'bigint(-9223372036854775808)' for m in own)})" for own in finer)
+    inner = F.expr(f"transform(element_at(array({literal}), mask + 1), m -> xxhash64(bucket, m, `{fingerprint}` & m))")
+    return (rows.join(large, "bucket", "left")
+            .withColumn("bucket", F.explode(F.when(F.col("rows").isNull(), F.array("bucket")).otherwise(inner))).drop("mask", "rows"))
 
 
-RUN_KEYS = ["mask", "bits", "bucket"]
+RUN_KEYS = ["bucket"]
 
 
 def near_links(values: DataFrame, radius: int = 3, blocks: int = 5, most: int = 4096) -> DataFrame:
@@ -232,9 +281,21 @@ def near_links(values: DataFrame, radius: int = 3, blocks: int = 5, most: int =
     dealt = buckets(values.select("fingerprint"), "fingerprint", radius, blocks, most, "buckets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, at in sorted_runs(batches, RUN_KEYS):
+        for part, at in sorted_runs(batches, RUN_KEYS, target=1 << 16):
             column = part.column("fingerprint").combine_chunks().to_numpy()
             left, right = links_in_runs(column.view(np.uint64), at, radius)
             yield pa.RecordBatch.from_pydict({"a": column[left], "b": column[right]})
 
     return (dealt.repartition(*RUN_KEYS).sortWithinPartitions(*RUN_KEYS).mapInArrow(compare, "a long, b long").distinct())
+
+
+def near_values(values: DataFrame, radius: int = 3, blocks: int = 5, most: int = 4096) -> DataFrame:
+    """(fingerprint): the distinct fingerprints of ``values`` that have another within ``radius``."""
+    dealt = buckets(values.select("fingerprint"), "fingerprint", radius, blocks, most, "buckets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at in sorted_runs(batches, RUN_KEYS, target=1 << 16):
+            column = part.column("fingerprint").combine_chunks().to_numpy()
+            yield pa.RecordBatch.from_pydict({"fingerprint": column[with_partner(column.view(np.uint64), at, radius)]})
+
+    return dealt.repartition(*RUN_KEYS).sortWithinPartitions(*RUN_KEYS).mapInArrow(compare, "fingerprint long").distinct()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.bitslice import RUN_KEYS, buckets, links_in_runs, with_partner
+from hirelake.llm.bitslice import RUN_KEYS, Roots, buckets, close_pairs, links_in_runs, near_values
 from hirelake.llm.common import binary, bounded, new_names, reachable, settle, sorted_runs
 from hirelake.llm.components import connected
 
@@ -148,15 +148,14 @@ def normalised(line: bytes) -> str:
 
 
 def _close_lines(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(key1, key2) of the lines that have another line within ``distance``."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, at in sorted_runs(batches, RUN_KEYS, target=1 << 16):
-            values = part.column("fingerprint").combine_chunks().to_numpy().view(np.uint64)
-            found = pa.array(with_partner(values, at, distance))
-            yield pa.RecordBatch.from_arrays([part.column(k).combine_chunks().take(found) for k in ("key1", "key2")], ["key1", "key2"])
+    """The rows of ``distinct`` that have another line within ``distance``.
 
-    dealt = buckets(distinct.select("key1", "key2", "fingerprint"), "fingerprint", distance, blocks, MOST_FINGERPRINTS, "line-buckets")
-    return dealt.repartition(*RUN_KEYS).sortWithinPartitions(*RUN_KEYS).mapInArrow(compare, "key1 long, key2 long").distinct()
+    Fingerprints are compared, not lines: several lines of one fingerprint have each other.
+    """
+    values = settle(distinct.groupBy("fingerprint").agg(F.count("*").alias("lines")), "line-fingerprints")
+    near = near_values(values, distance, blocks, MOST_FINGERPRINTS)
+    close = settle(values.filter("lines > 1").select("fingerprint").union(near).distinct(), "close-fingerprints")
+    return distinct.join(close, "fingerprint", "left_semi")
 
 
 _SPOT = "struct<doc_id:bigint,stamp:bigint,line:int>"
@@ -165,17 +164,97 @@ _SPOT = "struct<doc_id:bigint,stamp:bigint,line:int>"
 def _similar_lines(lines: DataFrame, distance: int, blocks: int, similarity: float) -> DataFrame:
     """(a, b) first places of lines that are within ``distance`` and similar; links that follow from others are left out.
 
-    ``lines``: first, fingerprint, words (the normalised line).
+    ``lines``: first, fingerprint, words (the normalised line). A class is the lines of one fingerprint, its hub one of
+    them. Lines are tied to their hub if they are similar to it, and the hubs of close classes to each other, group by
+    group. Tied lines of close classes whose hubs are connected need no further look. What is left is compared: lines that
+    are not tied with all lines of their class and of every close one, and all lines of two close classes whose hubs are
+    not connected. No pair of similar lines within ``distance`` is left unconnected.
     """
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hubs = settle(lines.groupBy("fingerprint").agg(
+        F.min("first").alias("hub"), F.min_by("words", "first").alias("hub_words"), F.count("*").alias("lines")), "line-hubs")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["first", "fingerprint", "words", "hub"]
+        for batch in batches:
+            words, other = batch.column("words").to_pylist(), batch.column("hub_words").to_pylist()
+            tied = pa.array([a == b or similar(a, b, similarity) for a, b in zip(words, other)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), tied], [*names, "tied"])
+
+    joined = lines.join(hubs, "fingerprint").select("first", "fingerprint", "words", "hub", "hub_words")
+    tied = settle(joined.mapInArrow(tie, f"first {_SPOT}, fingerprint long, words string, hub {_SPOT}, tied boolean"), "tied-lines")
+    untied = tied.filter(~F.col("tied")).groupBy("fingerprint").agg(F.count("*").alias("untied"))
+    classes = settle(hubs.join(untied, "fingerprint", "left").withColumn("untied", F.coalesce("untied", F.lit(0))), "line-classes")
+
+    def compare_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at in sorted_runs(batches, RUN_KEYS, target=1024):
-            values = part.column("fingerprint").combine_chunks().to_numpy().view(np.uint64)
-            words, first = part.column("words").to_pylist(), part.column("first").combine_chunks()
+            column, hub = part.column("fingerprint").combine_chunks(), part.column("hub").combine_chunks()
+            values, words = column.to_numpy().view(np.uint64), part.column("hub_words").to_pylist()
             left, right = links_in_runs(values, at, distance, lambda i, j: similar(words[i], words[j], similarity))
-            yield pa.RecordBatch.from_arrays([first.take(pa.array(left, pa.int64())), first.take(pa.array(right, pa.int64()))], ["a", "b"])
+            roots, loose = Roots(), part.column("untied").combine_chunks().to_numpy() > 0
+            for i, j in zip(left.tolist(), right.tolist()):
+                roots.join(i, j)
+            pairs = []
+            for i, near in close_pairs(values, at, distance, part.column("lines").combine_chunks().to_numpy() > 1):
+                for j in near.tolist():
+                    apart = roots.top(i) != roots.top(j)
+                    if apart or loose[i] or loose[j]:
+                        pairs.append((i, j, apart) if column[i].as_py() < column[j].as_py() else (j, i, apart))
+            f, g, apart = ([p[k] for p in pairs] for k in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.concat_arrays([hub.take(pa.array(ends, pa.int64())), pa.nulls(len(pairs), hub.type)]) for ends in (left, right)),
+                 *(pa.concat_arrays([pa.nulls(len(left), column.type), column.take(pa.array(ends, pa.int64()))]) for ends in (f, g)),
+                 pa.concat_arrays([pa.nulls(len(left), pa.bool_()), pa.array(apart, pa.bool_())])], ["a", "b", "f", "g", "apart"])
+
+    dealt = buckets(classes, "fingerprint", distance, blocks, MOST_LINES, "hub-buckets")
+    compared = settle(dealt.repartition(*RUN_KEYS).sortWithinPartitions(*RUN_KEYS).mapInArrow(
+        compare_hubs, f"a {_SPOT}, b {_SPOT}, f long, g long, apart boolean"), "hub-links")
+    to_hub = tied.filter(F.col("tied") & (F.col("first") != F.col("hub"))).select(F.col("first").alias("a"), F.col("hub").alias("b"))
+    rest = _rest_of_classes(tied, classes, compared.filter("f IS NOT NULL").groupBy("f", "g").agg(F.bool_and("apart").alias("apart")), similarity)
+    return to_hub.union(compared.filter("f IS NULL").select("a", "b")).union(rest).distinct()
+
+
+def _rest_of_classes(tied: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of the lines that hubs do not decide. ``pairs``: close classes f < g, and whether their hubs are apart.
+
+    Asking lines of a class (all, if the hubs are apart, else those not tied) meet all lines of the other class, in groups
+    of up to about twice MOST_LINES: a line that does not ask is repeated once for each MOST_LINES asking lines only.
+    """
+    sizes = classes.select(F.col("fingerprint").alias("asking"), "untied", F.col("lines").alias("all_asking"))
+    asked = classes.select(F.col("fingerprint").alias("other"), F.col("lines").alias("others"))
+    within = classes.filter("untied > 0").select(F.col("fingerprint").alias("asking"), F.col("fingerprint").alias("other"), F.lit(False).alias("apart"))
+    there, back = (pairs.select(F.col(x).alias("asking"), F.col(y).alias("other"), "apart") for x, y in (("f", "g"), ("g", "f")))
+    meetings = (within.union(there).union(back.filter(~F.col("apart"))).join(sizes, "asking").join(asked, "other")
+                .withColumn("n", F.when(F.col("apart"), F.col("all_asking")).otherwise(F.col("untied"))).filter("n > 0")
+                .select("asking", "other", "apart", *(F.ceil(F.col(c) / MOST_LINES).cast("int").alias(name) for c, name in (("n", "xs"), ("others", "ys")))))
+    meetings = settle(meetings, "line-meetings")
+
+    def side(of: str, own: str, parts: str, parts_of_other: str, asks: bool) -> DataFrame:
+        rows = meetings.join(tied.withColumnRenamed("fingerprint", of), of)
+        if asks:
+            rows = rows.filter(F.col("apart") | ~F.col("tied"))
+        here = F.pmod(F.xxhash64(F.lit(7), "first"), F.col(parts)).cast("int")
+        copies = rows.withColumn(own, here).withColumn("there", F.explode(F.sequence(F.lit(0), F.col(parts_of_other) - 1)))
+        x, y = (F.col(own), F.col("there")) if asks else (F.col("there"), F.col(own))
+        return copies.select(F.xxhash64("asking", "other", x, y).alias("bucket"), "first", "words", F.lit(asks).alias("asks"),
+                             F.when(F.col("tied"), F.col("hub")).otherwise(F.col("first")).alias("root"))
 
-    dealt = buckets(lines, "fingerprint", distance, blocks, MOST_LINES, "similar-buckets")
-    return dealt.repartition(*RUN_KEYS).sortWithinPartitions(*RUN_KEYS).mapInArrow(compare, f"a {_SPOT}, b {_SPOT}").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at in sorted_runs(batches, RUN_KEYS, target=1024):
+            words, first = part.column("words").to_pylist(), part.column("first").combine_chunks()
+            asks, number = part.column("asks").to_pylist(), {}
+            own = [number.setdefault((r["doc_id"], r["stamp"], r["line"]), len(number)) for r in part.column("root").to_pylist()]
+            roots, links = Roots(), []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                others = [j for j in range(lo, hi) if not asks[j]]
+                for i in (k for k in range(lo, hi) if asks[k]):
+                    for j in others:
+                        if roots.top(own[i]) != roots.top(own[j]) and similar(words[i], words[j], similarity):
+                            roots.join(own[i], own[j])
+                            links.append((i, j))
+            yield pa.RecordBatch.from_arrays([first.take(pa.array([link[k] for link in links], pa.int64())) for k in (0, 1)], ["a", "b"])
+
+    both = side("asking", "x", "xs", "ys", True).union(side("other", "y", "ys", "xs", False))
+    return both.repartition(*RUN_KEYS).sortWithinPartitions(*RUN_KEYS).mapInArrow(compare, f"a {_SPOT}, b {_SPOT}")
 
 
 def _marked(docs: DataFrame, id_name: str, text_name: str, stamp_name: str) -> DataFrame:
@@ -212,8 +291,7 @@ def drop_repeated_lines(docs: DataFrame, distance: int = DISTANCE, blocks: int =
     distinct = settle(lines.groupBy("key1", "key2").agg(
         F.min(spot).alias("first"), F.max(spot).alias("last"), F.min("fingerprint").alias("fingerprint")), "distinct-lines")
 
-    close = distinct.join(_close_lines(distinct, distance, blocks), ["key1", "key2"], "left_semi").select("first", "fingerprint")
-    close = settle(close, "close-lines")
+    close = settle(_close_lines(distinct, distance, blocks).select("first", "fingerprint"), "close-lines")
     wanted = close.groupBy("first.doc_id", "first.stamp").agg(F.collect_list(F.struct("first.line", "fingerprint")).alias("wanted"))
 
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
