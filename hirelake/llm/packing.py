@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +28,20 @@ REMEMBERED = 1 << 20
 _TAIL = b".,!?;:"
 
 
+# What a tokenizer file must say for its texts to be encoded word by word: white space parts tokens, case does not count,
+# and letters, single digits and marks are parted from each other, so that end marks are tokens of their own.
+_PARTED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "</w>",
+)
+
+
 class WordIds:
-    """Ids of white-space parted words, remembered. A token of the vocabularies used never reaches over white space, case
-    does not count, and end marks behind a letter or digit are tokens of their own."""
+    """Ids of white-space parted words, remembered, for tokenizer files whose traits are those of ``_PARTED``. With any
+    other file whole texts are encoded."""
 
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given the task its core
@@ -38,7 +52,10 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        said = json.loads(model)
+        traits = said.get("normalizer"), said.get("pre_tokenizer"), said["model"].get("end_of_word_suffix")
+        self.by_word = traits == _PARTED and not said["model"].get("dropout") and not said.get("truncation")
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words. Words of letters alone are encoded many in one text: each ends in one id that ends a word;
@@ -69,18 +86,35 @@ class WordIds:
         self._learn(list(needed.difference(self.known)))
         self.known.update((word, self.known[core] + self.known[word[len(core):]]) for word, core in cores.items())
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parted = [text.lower().split() for text in texts]
-        new = set().union(*parted).difference(self.known)
+    def encode(self, texts: list[bytes] | pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        The words of all texts together are numbered, each different one is looked up once, and the id runs are put
+        together by number.
+        """
+        texts = texts if isinstance(texts, pa.Array) else pa.array([t.decode() for t in texts], pa.string())
+        if not self.by_word:
+            for one in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
+                yield np.array(one.ids, dtype="<u4").tobytes()
+            return
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        names = binary(coded.dictionary)
+        new = set(names).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, set().union(*parted)
+            self.known, new = {b"": b""}, set(names) - {b""}
         self._prepare(new)
-        for words in parted:
-            yield b"".join(map(self.known.__getitem__, words))
+        runs = [self.known[w] for w in names]
+        size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // 4
+        ids, first, number = np.frombuffer(b"".join(runs), dtype="<u4"), np.cumsum(size) - size, coded.indices.to_numpy()
+        ends = np.cumsum(size[number])
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[number] - ends + size[number], size[number])
+        out, bounds = ids[places], np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield out[lo:hi].tobytes()
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[bytes, WordIds] = {}
 
 
 def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
@@ -88,17 +122,18 @@ def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, unit: int
     ``capacity`` ids; size is the length class, nth the number of pieces of that class before this one in the task."""
     reachable(docs.sparkSession)
     with open(model_path, "rb") as file:  # on the driver; executors get the bytes, whose size is that of the vocabulary
-        model = docs.sparkSession.sparkContext.broadcast(file.read())
+        content = file.read()
+    model, key = docs.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content).digest()
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _LOADED:
-            _LOADED[model_path] = WordIds(model.value)
-        words = _LOADED[model_path]
+        if key not in _LOADED:
+            _LOADED[key] = WordIds(model.value)
+        words = _LOADED[key]
         part, seen = TaskContext.get().partitionId(), {}
         for batch in bounded(batches):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(binary(batch.column("text")))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"))):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
