@@ -11,7 +11,7 @@ from hirelake.operators.integrity import integrity_report
 from hirelake.operators.load import load_star
 from hirelake.operators.transform import check_records
 from hirelake.sources.lake import field, read_lake
-from hirelake.sources.manifest import Manifest
+from hirelake.sources.manifest import Files, Manifest
 from hirelake.sources.sinks import append_raw_lake
 from hirelake.sources.star import Star
 from hirelake.streaming.incremental import run_incremental
@@ -193,3 +193,16 @@ def test_stream_of_mixed_files(spark, tmp_path):
         run_incremental(spark, str(tmp_path / "lake.v1"), root, mark, DAY, files_per_batch=1)
     assert star.table("job_postings").count() == 8 and star.stored("load_log").count() == 2 and not faults(star)
     assert read_lake(spark, str(tmp_path / "lake.v1")).count() == 9
+
+
+def test_files_through_the_file_system_interface(spark, tmp_path, monkeypatch):
+    """The way that folders outside local disks go."""
+    monkeypatch.setattr(Files, "_local", lambda self, path: None)
+    files = Files(spark, str(tmp_path))
+    (tmp_path / "m").mkdir()
+    assert files.create(f"{tmp_path}/m/1.json", "é") and not files.create(f"{tmp_path}/m/1.json", "other")
+    assert files.read(f"{tmp_path}/m/1.json") == "é"
+    assert [n.rpartition("/")[2] for n in files.names(f"{tmp_path}/m/[0-9]*.json")] == ["1.json"]
+    assert files.is_folder(f"{tmp_path}/m") and not files.is_folder(f"{tmp_path}/m/1.json") and not files.is_folder(f"{tmp_path}/*")
+    files.delete(f"{tmp_path}/m")
+    assert files.names(f"{tmp_path}/m") == []
