@@ -19,12 +19,11 @@ BLOCK_WORDS = ("adult", "ads", "bet", "bets", "bingo", "casino", "cheap", "escor
 KNOWN_WORDS = ("article", "blog", "book", "city", "code", "data", "education", "food", "forum", "game", "garden", "health", "history", "home",
                "news", "library", "market", "media", "music", "online", "open", "photo", "press", "research", "school", "science", "shop",
                "sport", "store", "story", "tech", "travel", "video", "weather", "web", "wiki", "world", "the", "and", "of", "in", "for", "my", "best")
-#: Count that a known word has beside what the pages show.
-KNOWN_COUNT = 1_000
-#: The longest word that a host may be cut into.
-LONGEST = 20
-#: Example pages of a page's class are those with (block) or without (allow) such words; a word's pull is smoothed by this.
-SMOOTHING = 1.0
+#: Shares of all counted words: what a known word has at least, and what a character outside of all words counts as. Only
+#: shares enter, so a URL is cut and judged alike whatever the number of pages.
+KNOWN_SHARE, UNKNOWN_SHARE = 1e-3, 1e-9
+#: Share that is added to a token's share of each class.
+SMOOTHING = 1e-5
 
 
 def parts(url: str = "url") -> dict[str, Column]:
@@ -55,20 +54,28 @@ def _pieces(text: Column) -> Column:
 
 
 def word_counts(hosts: DataFrame, paths: DataFrame) -> DataFrame:
-    """(word, n): what the pages themselves part by dots, dashes and slashes, by pages, plus the known words."""
+    """(word, share, known): what the pages themselves part by dots, dashes and slashes, as a share of all such words
+    by pages; the known words have KNOWN_SHARE at least."""
     spark = hosts.sparkSession
     seen = (hosts.select(F.explode(_pieces(F.col("host"))).alias("word"), "pages")
             .union(paths.select(F.explode(_pieces(F.col("path"))).alias("word"), "pages")).filter("word <> '#'"))
-    known = spark.createDataFrame([(w, KNOWN_COUNT) for w in (*BLOCK_WORDS, *KNOWN_WORDS)], "word string, pages long")
-    return seen.union(known).groupBy("word").agg(F.sum("pages").alias("n"))
+    known = spark.createDataFrame([(w, True) for w in dict.fromkeys((*BLOCK_WORDS, *KNOWN_WORDS))], "word string, known boolean")
+    counted = seen.groupBy("word").agg(F.sum("pages").alias("n"))
+    shares = counted.select("word", (F.col("n") / counted.agg(F.sum("n").alias("total")).scalar()).alias("share"))
+    both = shares.join(known, "word", "full")
+    least = F.when(F.col("known"), F.lit(KNOWN_SHARE))
+    return both.select("word", F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce(least, F.lit(0.0))).alias("share"), F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def viterbi(text: str, worth: dict[tuple[int, int], float], unknown: float) -> list[str]:
     """The likeliest way to cut ``text``; a stretch that is no known word costs ``unknown`` for each character."""
     best: list[tuple[float, int]] = [(0.0, 0)]
+    ending: dict[int, list[int]] = {}
+    for start, end in worth:
+        ending.setdefault(end, []).append(start)
     for end in range(1, len(text) + 1):
         choices = [(best[end - 1][0] + unknown, end - 1)]
-        choices += [(best[start][0] + worth[start, end], start) for start in range(max(0, end - LONGEST), end) if (start, end) in worth]
+        choices += [(best[start][0] + worth[start, end], start) for start in ending.get(end, ())]
         best.append(max(choices))
     cuts, end = [], len(text)
     while end:
@@ -89,20 +96,19 @@ def viterbi(text: str, worth: dict[tuple[int, int], float], unknown: float) -> l
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words): each label cut by unigram Viterbi.
 
-    Every substring of up to LONGEST letters is joined to the word counts; the counts are not gathered anywhere and
-    may be of any number. A word that occurs no more often than the label itself stands on its own must not be the
-    whole label: a label of several known words would otherwise always be its own word.
+    Every substring as long as some word is joined to the word shares; the shares are not gathered anywhere and may be
+    of any number, only the different lengths of words are. A label is not its own word, and a word has three letters at
+    least, unless it is a known one: a label of several words would otherwise always be the word it was counted as.
     """
     reachable(labels.sparkSession)
-    positions = F.explode(F.expr(f"""flatten(transform(sequence(1, length(label)), s ->
-        transform(sequence(s, least(length(label), s + {LONGEST - 1})), e -> named_struct('start', s - 1, 'stop', e, 'word', substring(label, s, e - s + 1)))))"""))
-    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("words")).first()
-    log_total = math.log((total["total"] or 0) + (total["words"] or 0) + 1)
+    usable = counts.filter((F.length("word") > 2) | F.col("known"))
+    sizes = sorted(r["n"] for r in usable.select(F.length("word").alias("n")).distinct().collect())
+    positions = F.explode(F.expr(f"""flatten(transform(filter(array({', '.join(map(str, sizes)) or 0}), n -> n <= length(label) AND n > 0), n ->
+        transform(sequence(1, length(label) - n + 1), s -> named_struct('start', s - 1, 'stop', s - 1 + n, 'word', substring(label, s, n)))))"""))
     spans = labels.filter("label <> ''").select("label", positions.alias("s")).select("label", "s.*")
-    known = (spans.join(counts, "word")
-             .filter((F.col("word") != F.col("label")) | (F.col("n") >= KNOWN_COUNT) | (F.length("label") <= 3))
-             .filter((F.length("word") > 2) | (F.col("n") >= KNOWN_COUNT))
-             .select("label", "start", "stop", (F.log("n") - F.lit(log_total)).alias("worth")))
+    known = (spans.join(usable, "word")
+             .filter((F.col("word") != F.col("label")) | F.col("known") | (F.length("label") <= 3))
+             .select("label", "start", "stop", F.log("share").alias("worth")))
     rows = labels.filter("label <> ''").select("label", F.lit(-1).alias("start"), F.lit(-1).alias("stop"), F.lit(0.0).alias("worth")).union(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +117,7 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
                 worth = {(data["start"][i], data["stop"][i]): data["worth"][i] for i in range(lo, hi) if data["stop"][i] > 0}
                 out["label"].append(data["label"][lo])
-                out["words"].append(viterbi(data["label"][lo], worth, -log_total))
+                out["words"].append(viterbi(data["label"][lo], worth, math.log(UNKNOWN_SHARE)))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("label", pa.string()), ("words", pa.list_(pa.string()))]))
 
     return rows.repartition("label").sortWithinPartitions("label").mapInArrow(run, "label string, words array<string>")
@@ -134,10 +140,11 @@ def filter_urls(pages: DataFrame, rules=RULES, block_words=BLOCK_WORDS) -> DataF
     paths = settle(judged.groupBy("host", "path").agg(F.count("*").alias("pages")), "paths")
     counts = settle(word_counts(hosts, paths), "word-counts")
 
-    labels = hosts.select("host", F.explode_outer(F.regexp_extract_all(F.col("host"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("label"))
+    labels = hosts.select("host", F.posexplode_outer(F.regexp_extract_all(F.col("host"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("nth", "label"))
     cut_labels = segmented(labels.select("label").filter("label IS NOT NULL").distinct(), counts)
     host_words = settle(labels.join(cut_labels, "label", "left").groupBy("host")
-                        .agg(F.flatten(F.collect_list("words")).alias("words")).join(hosts, "host"), "host-words")
+                        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("nth", "words")))), lambda p: p["words"])).alias("words"))
+                        .join(hosts, "host"), "host-words")
 
     known_bad = F.array(*map(F.lit, block_words))
     bad_host = F.arrays_overlap("words", known_bad)
@@ -148,12 +155,12 @@ def filter_urls(pages: DataFrame, rules=RULES, block_words=BLOCK_WORDS) -> DataF
               .union(examples.select("bad", "pages", F.explode(F.transform("words", lambda t: F.concat(F.lit("host:"), t))).alias("token"))))
     per_token = settle(tokens.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0)).alias("block"),
                                                    F.sum(F.when(F.col("bad"), 0).otherwise(F.col("pages"))).alias("allow")), "token-counts")
-    sums = per_token.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
-    block_total, allow_total = ((sums[k] or 0) + SMOOTHING * max(sums["n"], 1) for k in ("block", "allow"))
+    sums = per_token.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    block_total, allow_total = (max(sums[k] or 0, 1) for k in ("block", "allow"))
     of_class = examples.agg(F.sum(F.when(F.col("bad"), F.col("pages"))).alias("block"), F.sum(F.when(~F.col("bad"), F.col("pages"))).alias("allow")).first()
-    prior = math.log(((of_class["block"] or 0) + SMOOTHING) / ((of_class["allow"] or 0) + SMOOTHING))
-    pull = per_token.select("token", (F.log(F.col("block") + SMOOTHING) - F.log(F.lit(block_total))
-                                      - F.log(F.col("allow") + SMOOTHING) + F.log(F.lit(allow_total))).alias("pull"))
+    pages_of = [(of_class[k] or 0) / max(1, (of_class["block"] or 0) + (of_class["allow"] or 0)) for k in ("block", "allow")]
+    prior = math.log((pages_of[0] + SMOOTHING) / (pages_of[1] + SMOOTHING))
+    pull = per_token.select("token", (F.log(F.col("block") / block_total + SMOOTHING) - F.log(F.col("allow") / allow_total + SMOOTHING)).alias("pull"))
     host_pull = (host_words.select("host", F.explode(F.transform("words", lambda t: F.concat(F.lit("host:"), t))).alias("token"))
                  .join(pull, "token").groupBy("host").agg(F.sum("pull").alias("host_pull")))
     path_pull = (paths.select("host", "path", F.explode(F.transform(path_tokens, lambda t: F.concat(F.lit("path:"), t))).alias("token"))
