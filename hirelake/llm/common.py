@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +52,13 @@ def reachable(spark: SparkSession) -> None:
             context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, sliced so that ``column`` holds about ``limit`` bytes in each slice, a row at least."""
+def bounded(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array] = "text",
+            limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, sliced so that ``column`` (a name, or how to get it) holds about ``limit`` bytes in each slice, a row
+    at least."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        texts = column(batch) if callable(column) else batch.column(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0

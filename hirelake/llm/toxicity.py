@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from hirelake.llm.common import bounded, documents, new_names, reachable, settle
+from hirelake.llm.common import bounded, documents, reachable, settle
 
 #: Labelled rows that a fit reads at most: those of the lowest hashes of doc_id.
 FIT_ROWS = 20_000
@@ -69,15 +70,17 @@ def features(text: str, learned: frozenset[str]) -> list[float]:
             plain = token.lower().translate(_PLAIN)
             starred = token.lower().strip("*!")
             hidden += starred not in INSULTS and (plain in INSULTS or plain.rstrip("i") in INSULTS or "*" in starred.strip("!") and _starred(starred))
+    stop, stretched = 0, False
     for run in _LONG_RUN.finditer(text):
         if run[1].isalpha():
-            start, stop = run.span()
-            while start and text[start - 1].isalpha():
-                start -= 1
-            while stop < len(text) and text[stop].isalpha():
-                stop += 1
-            if stop - start <= 64:
-                hidden += _LONG_RUN.sub(r"\1", text[start:stop].lower()) in INSULTS
+            if run.start() >= stop:  # a word with several long runs is looked at once
+                start, stop = run.span()
+                while start and text[start - 1].isalpha():
+                    start -= 1
+                while stop < len(text) and text[stop].isalpha():
+                    stop += 1
+                stretched = _LONG_RUN.sub(r"\1", text[start:stop].lower()) in INSULTS
+            hidden += stretched
     return [math.log1p(len(insults)), len(insults) / n, math.log1p(found), found / n, math.log1p(near), len(persons) / n,
             len(_CAPITALS.findall(text)) / max(1, len(text)), sum(len(w) > 2 and w.isupper() for w in exact) / n,
             len(_MARKS.findall(text)) / n, len(_MARK_RUNS.findall(text)) / n, math.log1p(hidden), hidden / n, odd / n, math.log1p(len(words))]
@@ -96,19 +99,27 @@ def in_fit(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
 
 
-def _featured(docs: DataFrame, learned: frozenset[str]) -> DataFrame:
-    """``docs`` with a column features, made from the column text (a null one is empty)."""
+def _own_text(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("text")
+
+
+def _row_text(batch: pa.RecordBatch) -> pa.Array:
+    return pc.struct_field(batch.column("row"), "text")
+
+
+def _featured(docs: DataFrame, learned: frozenset[str], keep: tuple[str, ...], text=_own_text) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and features, made from the text (a null one is empty). Of the texts only what
+    is kept goes back to the JVM."""
     reachable(docs.sparkSession)
-    name, = new_names(docs, "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            rows = np.array([features(t or "", learned) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+        for batch in bounded(batches, text):
+            rows = np.array([features(t or "", learned) for t in text(batch).to_pylist()]).reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32)), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "features"])
 
-    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
-    return docs.mapInArrow(run, schema).withColumn(name, array_to_vector(name))
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("features", ArrayType(DoubleType()))])
+    return docs.mapInArrow(run, schema).withColumn("features", array_to_vector("features"))
 
 
 class ToxicityModel:
@@ -121,17 +132,18 @@ class ToxicityModel:
         """(doc_id, score) for each row of ``docs``: whole texts; null and empty texts too."""
         if self.trees is None:
             return documents(docs).select("doc_id", F.lit(float(self.share)).alias("score"))
-        return self._scored(documents(docs)).select("doc_id", "score")
+        return self._scored(_featured(documents(docs), self.learned, ("doc_id",))).select("doc_id", "score")
 
     def filtered(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` whose score is under 0.5, as they were. The features travel with the rows: no join."""
         if self.trees is None:
             return docs.filter(F.lit(self.share < 0.5))
-        kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        return self._scored(kept).filter("score < 0.5").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        scored = self._scored(_featured(rows, self.learned, ("row",), _row_text))
+        return scored.filter("score < 0.5").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
-    def _scored(self, docs: DataFrame) -> DataFrame:
-        margins = self.trees.transform(_featured(docs, self.learned)).withColumn("margin", vector_to_array("rawPrediction")[1])
+    def _scored(self, featured: DataFrame) -> DataFrame:
+        margins = self.trees.transform(featured).withColumn("margin", vector_to_array("rawPrediction")[1])
         return self.calibration.transform(margins).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")))
 
 
@@ -153,13 +165,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & in_fit()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = settle(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "fit-labels")
-    fit = settle(documents(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "fit-documents")
+    found = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    fit = settle(found, "fit-documents")
     seen = fit.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     share = (seen["k"] or 0) / max(1, seen["n"])
     if not 0 < share < 1:
         return ToxicityModel(None, None, frozenset(), share)
     learned = _learned_words(fit, share)
-    rows = settle(_featured(fit, learned).drop("text"), "fit-features").withColumn("label", F.col("toxic").cast("double"))
+    rows = settle(_featured(fit, learned, ("doc_id", "toxic")), "fit-features").withColumn("label", F.col("toxic").cast("double"))
     calibrates = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(CALIBRATION_FOLDS)) == 0
     growing, held = rows.filter(~calibrates), rows.filter(calibrates)
     classes = held.agg(F.countDistinct("label")).first()[0], growing.agg(F.countDistinct("label")).first()[0]
@@ -172,7 +185,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from a score of 0.5). A null doc_id is not held out."""
+    """doc_id, held_out, score, predicted (1 from a score of 0.5), a row for each row of ``docs``.
+
+    A null text is scored as an empty one; a null doc_id is not held out; whole texts of any length are read; repeated
+    rows each get a row, and of rows that repeat a doc_id one is learned from, that of the least text hash; other columns
+    are left out; empty tables give no rows.
+    """
     scored = fit_toxicity(docs, labels).score(docs)
     return scored.select("doc_id", F.coalesce(~in_fit(), F.lit(False)).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
