@@ -141,8 +141,9 @@ class WordVectors:
         self.vectors = (apart / np.maximum(1e-9, np.linalg.norm(apart, axis=1) + chance)[:, None]).astype(np.float32)
         self.weight = (HALF / (HALF + count / total)).astype(np.float32)
 
-    #: Mean, spread and length of the mean, logarithm of the number of tokens, share of tokens that repeat the one before.
-    FEATURES = 2 * WIDTH + 3
+    #: Mean, spread and length of the mean, logarithm of the number of tokens, shares of tokens that repeat the one before
+    #: and the one before that (a word and its mark, again and again).
+    FEATURES = 2 * WIDTH + 4
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """(len(texts), FEATURES); zeros for a text without tokens."""
@@ -158,9 +159,10 @@ class WordVectors:
             mean[own[first]] += np.add.reduceat(weighted, first, axis=0)
             square[own[first]] += np.add.reduceat(weighted * vectors, first, axis=0)
         mean, square = mean / whole, square / whole
-        again = np.flatnonzero((slot[1:] == slot[:-1]) & (document[1:] == document[:-1]))
         number = np.bincount(document, minlength=n)
         out[:, :WIDTH], out[:, WIDTH:2 * WIDTH] = mean, np.sqrt(np.maximum(0, square - mean ** 2))
-        out[:, -3], out[:, -2] = np.linalg.norm(mean, axis=1), np.log1p(number)
-        out[:, -1] = np.bincount(document[again], minlength=n) / np.maximum(1, number)
+        out[:, -4], out[:, -3] = np.linalg.norm(mean, axis=1), np.log1p(number)
+        for apart in (1, 2):
+            again = np.flatnonzero((slot[apart:] == slot[:-apart]) & (document[apart:] == document[:-apart]))
+            out[:, -3 + apart] = np.bincount(document[again], minlength=n) / np.maximum(1, number)
         return out
