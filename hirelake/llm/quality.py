@@ -109,4 +109,10 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def quality_documents(docs: DataFrame) -> DataFrame:
+    """The counts of the contract, base_failed, kept and failed (names of the rules that a text breaks), a row for each row.
+
+    A null text is an empty one and fails; a null doc_id stays null; texts are read whole; a measure that equals its
+    threshold passes; repeated rows each get a row; other columns, whatever their names, are left out; an empty table
+    gives no rows.
+    """
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")

@@ -87,7 +87,8 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of ``docs`` that are the first of their near-duplicate group, with all columns as they were.
 
     Rows that repeat the doc_id of a kept document stay with it. Rows with a null doc_id stay if their group has no
-    doc_id at all, one row for each group cannot be told apart and so all of them stay.
+    doc_id at all, one row for each group cannot be told apart and so all of them stay. A null text is an empty one, texts
+    are read whole, an empty table gives no rows, and other columns may have any names.
     """
     kept = (near_duplicates(docs, **parameters).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct())
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
