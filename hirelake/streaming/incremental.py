@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from hirelake.operators.load import load_star
 from hirelake.operators.transform import check_records
-from hirelake.sources.lake import LAKE_FILES, explode_documents, line_records, read_lake
+from hirelake.sources.lake import LAKE_FILES, explode_documents, format_of, line_records, read_lake
+from hirelake.sources.sinks import union_batches
 from hirelake.sources.star import Star
 
 
@@ -34,7 +35,9 @@ def batch_records(batch: DataFrame, fmt: str | None = None) -> DataFrame:
     document or JSON Lines, CSV by its own header. Only the names of the batch's new files reach the driver, where the
     file source has them anyway; ``files_per_batch`` bounds them."""
     if fmt is None:
-        return read_lake(batch.sparkSession, [row["file"] for row in batch.select("file").collect()])
+        names = [row["file"] for row in batch.select("file").collect()]
+        by_kind = {kind: [name for name in names if format_of(name) == kind] for kind in ("json", "csv")}
+        return union_batches(*(read_lake(batch.sparkSession, own, kind) for kind, own in by_kind.items() if own))
     return (explode_documents if fmt == "json" else line_records)(batch)
 
 
