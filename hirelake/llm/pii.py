@@ -7,7 +7,7 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import settle
@@ -24,8 +24,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WIDE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[A-Za-z0-9-]++)++"
 WIDE_PHONE = r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
-#: Characters around a span that the context labelers read.
-AROUND = 40
+#: Characters around a span that the context labelers read, and characters of the parts of a text they are cut from.
+AROUND, PART = 40, 4096
 CONTEXT = {"email": "mail|contact|write|reach|address|courriel|correo", "ip": "ip|host|server|address|login|logged|client|serveur|servidor",
            "card": "card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta", "phone": "phone|tel|call|mobile|cell|fax|whatsapp|telefon|anruf|appel|tél|móvil"}
 AGAINST = "order|invoice|isbn|issn|serial|version|section|chapter|page|lot|sku|tracking|part no|ref|doi|hash|build"
@@ -66,10 +66,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     every = F.concat(*(of_source(*source) for source in sources))
     # Matches of a wide pattern of digits, and digit runs too short to be anything, are sorted out before they become rows.
     worth = F.filter(every, lambda s: (s["kind"] != KINDS.index("card")) | (s["stop"] - s["start"]).between(13, 60))
-    return (texts.select("doc_id", "stamp", "text", F.explode(worth).alias("s")).select("doc_id", "stamp", "text", "s.*")
-            .select("doc_id", "stamp", "kind", "wide", "start", "stop", "found",
-                    F.lower(F.expr(f"substring(text, greatest(start - {AROUND}, 0) + 1, least(start, {AROUND}))")).alias("before"),
-                    F.lower(F.expr(f"substring(text, stop + 1, {AROUND})")).alias("after")))
+    # The surroundings are cut out of the part of the text that holds them, so a long text with many matches is neither
+    # copied nor counted through for each of them.
+    parts = texts.withColumn("worth", worth).withColumn("parts", F.expr(f"CASE WHEN size(worth) > 0 THEN regexp_extract_all(text, '(?s).{{1,{PART}}}', 0) END"))
+
+    def cut(begin: str, length: str) -> str:
+        at = f"coalesce(get(parts, cast(({begin}) div {PART} AS int) + {{}}), '')"
+        return f"lower(substring(concat({at.format(0)}, {at.format(1)}), ({begin}) % {PART} + 1, {length}))"
+
+    around = F.expr(f"""transform(worth, s -> named_struct('kind', s.kind, 'wide', s.wide, 'start', s.start, 'stop', s.stop, 'found', s.found,
+        'before', {cut(f"greatest(s.start - {AROUND}, 0)", f"least(s.start, {AROUND})")}, 'after', {cut("s.stop", str(AROUND))}))""")
+    return parts.select("doc_id", "stamp", F.explode(around).alias("s")).select("doc_id", "stamp", "s.*")
 
 
 def voted(spans: DataFrame) -> DataFrame:
@@ -168,15 +175,19 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     judged = votes.join(F.broadcast(decided(votes)), list(PATTERN))
     kept = judged.filter(F.col("base") | (F.col("probability") >= threshold)).select(
         "doc_id", "stamp", "kind", "start", "stop", "found", "base", "probability").distinct()
-    base = kept.filter("base").select("doc_id", "stamp", "kind", "start", "stop")
-    crossing = ((F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.col("a.stamp") == F.col("b.stamp")) & (F.col("a.kind") == F.col("b.kind"))
-                & (F.col("a.start") < F.col("b.stop")) & (F.col("b.start") < F.col("a.stop")))
-    added = kept.filter("NOT base").alias("a").join(base.alias("b"), crossing, "left_anti")
-    return kept.filter("base").unionByName(added)
+    in_text = Window.partitionBy("doc_id", "stamp", "kind").orderBy("start", "stop", "base")
+    before = F.max(F.when(F.col("base"), F.col("stop"))).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.min(F.when(F.col("base"), F.col("start"))).over(in_text.rowsBetween(1, Window.unboundedFollowing))
+    crossing = (F.coalesce(before, F.lit(-1)) > F.col("start")) | (F.coalesce(behind, F.col("stop")) < F.col("stop"))
+    return kept.withColumn("crossing", crossing).filter("base OR NOT crossing").drop("crossing")
 
 
 def personal_data_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs``."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs``.
+
+    A null text has no spans; a null doc_id stays null; repeated rows each get a row; other columns, whatever their names,
+    are left out; an empty table gives no rows. Work on a long text grows with its length and its number of matches.
+    """
     found_spans = personal_data(docs)
     per_document = found_spans.groupBy("doc_id", "stamp").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop", "base"))).alias("s"))
     marked = (docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("stamp")).alias("d")
