@@ -97,12 +97,12 @@ class BlobLedger:
         """``versions`` (every path and version of it) with a column findings: array of (start, rule, stop), where rule
         is the place in ``rules``; empty if there is none. Only blobs with findings take part in the join."""
         name, = new_names(versions, "findings")
-        blob, = new_names(versions, "_blob")
-        found_in = self.findings(rules).withColumnsRenamed({"blob": "_found_blob", "findings": "_found"})
+        blob, found_blob, found_here = new_names(versions, "_blob", "_found_blob", "_found")
+        found_in = self.findings(rules).withColumnsRenamed({"blob": found_blob, "findings": found_here})
         named = versions.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-        return named.join(found_in, F.col(blob) == F.col("_found_blob"), "left").select(
+        return named.join(found_in, F.col(blob) == F.col(found_blob), "left").select(
             *(F.col(f"`{c}`") for c in versions.columns),
-            F.coalesce("_found", F.array().cast("array<struct<start:int,rule:bigint,stop:int>>")).alias(name))
+            F.coalesce(found_here, F.array().cast("array<struct<start:int,rule:bigint,stop:int>>")).alias(name))
 
 
 def scanned(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[BlobLedger, DataFrame]:
@@ -137,7 +137,8 @@ def secret_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFra
 
 def redacted(docs: DataFrame, ledger_path: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each found span of the text replaced by ``mark`` (overlapping spans by one); other columns stay,
-    and a text without findings stays as it was."""
+    and a text without findings, a null one too, stays as it was. Repeated rows and null ids are treated like others, an
+    empty table gives no rows, and extra columns may have any names."""
     found_in = scanned(docs, ledger_path)[1]
     name = found_in.columns[-1]
     clean = F.expr(f"""aggregate(`{name}`, named_struct('at', 0, 'out', ''), (a, f) ->
