@@ -1,4 +1,7 @@
-"""The four reports over the star, under their display names."""
+"""The four reports over the star, under their display names.
+
+The headings of the columns are fixed values.
+"""
 
 from __future__ import annotations
 
