@@ -14,7 +14,7 @@ from hirelake.functions.text import SPACE, let_sql, number_sql, quoted, strip_sq
 # ---- fixed values: patterns for years of experience, tried in this order ------------------------------------------
 _NUMBER = r"\d+(?:\.\d+)?"
 _UNIT = r"(?:years|yrs|yr|year)"
-# Word edges are spelled out, because Java's \\b takes marks that follow a letter for part of the word, and rules.WORD does not.
+# Word edges are spelled out, because Java's \b takes marks that follow a letter for part of the word, and rules.WORD does not.
 _START = f"(?<!{rules.WORD})"
 _END = f"(?!{rules.WORD})"
 _EDGE = f"(?:(?<={rules.WORD})(?!{rules.WORD})|(?<!{rules.WORD})(?={rules.WORD}))"
