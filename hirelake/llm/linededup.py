@@ -16,6 +16,8 @@ from hirelake.llm.components import connected
 DISTANCE = 3
 BLOCKS = 5
 SIMILARITY = 0.8
+#: Octets of text whose lines are taken at once.
+TEXT_BYTES = 1 << 20
 #: Rows of a chunk when fingerprints, and when whole lines, are compared.
 MOST_FINGERPRINTS, MOST_LINES = 4096, 256
 
@@ -283,7 +285,7 @@ def drop_repeated_lines(docs: DataFrame, distance: int = DISTANCE, blocks: int =
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "stamp", F.coalesce("text", F.lit("")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=TEXT_BYTES):
             yield _as_table(batch.column("doc_id"), batch.column("stamp"), line_features(binary(batch.column("text"))))
 
     lines = settle(slim.mapInArrow(features, "doc_id long, stamp long, line int, key1 long, key2 long, fingerprint long"), "lines")
@@ -330,6 +332,10 @@ def drop_repeated_lines(docs: DataFrame, distance: int = DISTANCE, blocks: int =
 
 
 def line_dedup_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left)."""
+    """doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left), a row for each row of ``docs``.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables as for :func:`drop_repeated_lines`; other columns,
+    whatever their names, are left out.
+    """
     done = drop_repeated_lines(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
