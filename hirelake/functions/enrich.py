@@ -120,15 +120,29 @@ def term_hits(text: str, folded: str, words: str, terms=None) -> Column:
     """
     terms = rules.default_terms() if terms is None else terms
 
-    def test(term) -> str:
-        pattern = (f"contains({folded}, {quoted(_fold(term.stem))})"
-                   f" AND rlike({text}, {quoted(rules.whole_word(term.stem, term.ending))})")
-        if term.ending or not _is_word(term.stem):
-            return pattern
-        return f"CASE WHEN {words} IS NULL THEN {pattern} ELSE array_contains({words}, {quoted(_fold(term.stem))}) END"
-
-    hits = ", ".join(f"CASE WHEN {test(term)} THEN named_struct('term', {quoted(term.name)}, 'term_type', {quoted(term.kind)}) END" for term in terms)
-    return F.expr(f"array_compact(array({hits}))")
+    def tag(term) -> str:
+        return f"named_struct('term', {quoted(term.name)}, 'term_type', {quoted(term.kind)})"
+
+    def by_pattern(some) -> str:
+        hits = ", ".join(
+            f"CASE WHEN contains({folded}, {quoted(_fold(term.stem))})"
+            f" AND rlike({text}, {quoted(rules.whole_word(term.stem, term.ending))}) THEN {tag(term)} END"
+            for term in some
+        )
+        return f"array_compact(array({hits}))"
+
+    by_word: dict[str, list] = {}
+    for term in terms:
+        if not term.ending and _is_word(term.stem):
+            by_word.setdefault(_fold(term.stem), []).append(term)
+    if not by_word:
+        return F.expr(by_pattern(terms))
+    tags = ", ".join(f"array({', '.join(map(tag, some))})" for some in by_word.values())
+    place = f"cast(array_position(array({', '.join(map(quoted, by_word))}), w) AS int) - 1"
+    looked_up = f"flatten(transform({words}, w -> get(array({tags}), {place})))"
+    others = [term for term in terms if term.ending or not _is_word(term.stem)]
+    found = f"concat({looked_up}, {by_pattern(others)})" if others else looked_up
+    return F.expr(f"CASE WHEN {words} IS NULL THEN {by_pattern(terms)} ELSE {found} END")
 
 
 def to_usd(low: str, high: str, country: str, rates=None, ordered_rules=rules.CURRENCY_RULES) -> Column:
