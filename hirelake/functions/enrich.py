@@ -100,24 +100,26 @@ def _fold(stem: str) -> str:
     return stem.upper().lower()
 
 
-def dictionary_words(text: str, folded: str, terms=None) -> Column:
+def dictionary_words_sql(text: str, folded: str, terms=None) -> str:
     """array<string>: the folded one-word terms that are words of the text, by one pass over its words and one lookup.
 
     ``folded`` is :func:`fold_case` of the same text. Null where folding changed the number of characters (as for ß):
-    there a word of the folded text may be none of the text, and :func:`term_hits` tests each term by its pattern.
+    there a word of the folded text may be none of the text, and each term is tested by its pattern.
     """
     terms = rules.default_terms() if terms is None else terms
     words = ", ".join(quoted(w) for w in sorted({_fold(term.stem) for term in terms if not term.ending and _is_word(term.stem)}))
     found = f"array_intersect(regexp_extract_all({folded}, {quoted(rules.WORD + '+')}, 0), array({words}))"
-    return F.expr(f"CASE WHEN char_length({folded}) = char_length({text}) THEN {found if words else 'cast(array() AS array<string>)'} END")
+    return f"CASE WHEN char_length({folded}) = char_length({text}) THEN {found if words else 'cast(array() AS array<string>)'} END"
 
 
-def term_hits(text: str, folded: str, words: str, terms=None) -> Column:
+def term_hits(text: str, folded: str, terms=None) -> Column:
     """array<struct(term, term_type)> of the dictionary terms that occur in ``text`` as whole words.
 
-    ``folded`` is :func:`fold_case` and ``words`` :func:`dictionary_words` of the same text and terms. A term of several
-    words, or with other characters, runs its regular expression only where a plain byte search finds its stem.
+    ``folded`` is :func:`fold_case` of the same text. One-word terms are looked up (see :func:`dictionary_words_sql`); a
+    term of several words, or with other characters, runs its regular expression only where a plain byte search finds its
+    stem. All of it is one expression, so a query that does not read the terms does none of the work.
     """
+    words = "ws"
     terms = rules.default_terms() if terms is None else terms
 
     def tag(term) -> str:
@@ -142,7 +144,8 @@ def term_hits(text: str, folded: str, words: str, terms=None) -> Column:
     looked_up = f"flatten(transform({words}, w -> get(array({tags}), {place})))"
     others = [term for term in terms if term.ending or not _is_word(term.stem)]
     found = f"concat({looked_up}, {by_pattern(others)})" if others else looked_up
-    return F.expr(f"CASE WHEN {words} IS NULL THEN {by_pattern(terms)} ELSE {found} END")
+    chosen = f"CASE WHEN {words} IS NULL THEN {by_pattern(terms)} ELSE {found} END"
+    return F.expr(let_sql(dictionary_words_sql(text, folded, terms), words, chosen))
 
 
 def to_usd(low: str, high: str, country: str, rates=None, ordered_rules=rules.CURRENCY_RULES) -> Column:

@@ -91,7 +91,6 @@ def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=ru
         "_usd": enrich.to_usd("_salary.min", "_salary.max", "country", rates, currency_rules),
         "_folded": enrich.fold_case("_text"),
     })
-    derived = evaluate(derived, derived.columns, {"_words": enrich.dictionary_words("_text", "_folded", terms)})
     shaped = derived.select(
         "file", "ordinal", "title", "description", F.col("raw").alias("_raw"),
         F.when(F.col("company") == "", rules.DEFAULT_COMPANY).otherwise(F.col("company")).alias("company_name"),
@@ -107,7 +106,7 @@ def check_records(records: DataFrame, role_rules=rules.ROLE_RULES, mode_rules=ru
         F.col("_usd.min_usd").try_cast(MONEY_USD).alias("salary_min_usd"),
         F.col("_usd.max_usd").try_cast(MONEY_USD).alias("salary_max_usd"),
         F.col("_usd.mid_usd").try_cast(MONEY_USD).alias("salary_mid_usd"),
-        enrich.term_hits("_text", "_folded", "_words", terms).alias("terms"),
+        enrich.term_hits("_text", "_folded", terms).alias("terms"),
         "_unreadable", "_country_not_text", "_salary", "_usd", "_years",
     )
 
@@ -161,9 +160,7 @@ def load_report(checked: DataFrame) -> DataFrame:
 def tag_terms(df: DataFrame, text_col: str, id_col: str, terms=None) -> DataFrame:
     """(id, term, term_type): one row per dictionary term found in a text, each at most once per row."""
     folded = evaluate(df, [id_col], {"_text": F.col(text_col), "_folded": enrich.fold_case(text_col)})
-    looked_up = evaluate(folded, folded.columns, {"_words": enrich.dictionary_words("_text", "_folded", terms)})
-    return explode_terms(looked_up.select(id_col, enrich.term_hits("_text", "_folded", "_words", terms).alias("_t")),
-                         "_t", id_col)
+    return explode_terms(folded.select(id_col, enrich.term_hits("_text", "_folded", terms).alias("_t")), "_t", id_col)
 
 
 def explode_terms(df: DataFrame, terms_col: str, id_col: str) -> DataFrame:
