@@ -205,3 +205,19 @@ def test_vocabulary_of_words_and_pairs(spark):
         want = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:size]
         assert [tuple(r) for r in models.vocabulary(df, "words", size).collect()] == want
     assert models.vocabulary(df.limit(0), "words", 5).count() == 0
+
+
+def test_a_large_forest_is_fitted_in_parts(spark, tmp_path):
+    postings = _postings(spark)
+    links = postings.select("job_id", F.when(F.col("job_id") % 2 == 0, "Node.js").otherwise("CSS").alias("skill_name"))
+    model, terms, checked = models.fit_salary(postings, links, trees=models.TREES_AT_ONCE * 2 + 3, depth=3)
+    forests = [stage for stage in model.stages if hasattr(stage, "getNumTrees")]
+    assert [forest.getNumTrees for forest in forests] == [models.TREES_AT_ONCE, models.TREES_AT_ONCE, 3]
+    rows = model.transform(postings.withColumns({"flag_0": F.lit(1), "flag_1": F.lit(0)})).collect()
+    for row in rows[:10]:
+        trees = [tree.predict(row["salary_features"]) for forest in forests for tree in forest.trees]
+        assert len(trees) == models.TREES_AT_ONCE * 2 + 3 and row["prediction"] == pytest.approx(np.mean(trees))
+    assert metrics.regression_report(checked).first().mae < 100
+    models.save_models(spark, str(tmp_path), salary=(model, terms))
+    again = models.load_models(spark, str(tmp_path))[1][0]
+    assert again.transform(postings.withColumns({"flag_0": F.lit(1), "flag_1": F.lit(0)})).select("prediction").collect() == [(r["prediction"],) for r in rows]
