@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirelake import rules
 from hirelake.functions import display, enrich
 from hirelake.functions.text import amounts_in_text, parse_amounts, split_place, strip, text_of, title_plus_description
-from hirelake.operators.transform import country_of, resolve_salary, tag_terms, whole_years
+from hirelake.operators.transform import country_of, evaluate, resolve_salary, tag_terms, whole_years
 from hirelake.rules import Term
 from hirelake.sources.lake import record_fields
 
@@ -107,6 +107,22 @@ def test_terms_by_lookup_equal_terms_by_pattern(spark):
     assert got == {(r["id"], r["h"]["n"], r["h"]["k"]) for r in patterns.filter("h IS NOT NULL").collect()} and len(got) > 300
 
 
+def test_dictionary_is_one_set_for_all_texts(spark):
+    plan = spark.range(1).select(F.expr(enrich.dictionary_words_sql("cast(id AS string)", "cast(id AS string)")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan.upper() and "array_intersect" not in plan
+
+
+def test_steps_of_a_check_are_projections(spark):
+    """The generator between two steps only takes a row apart; what it would hold itself would be interpreted."""
+    df = spark.range(3).selectExpr("id", "cast(id AS string) AS t")
+    got = evaluate(df, ["id"], {"u": F.upper("t"), "n": F.expr("CASE WHEN id = 1 THEN NULL ELSE id END")})
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(0, "0", 0), (1, "1", None), (2, "2", 2)]
+    lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert any("Generate" in line for line in lines) and not any("upper" in line for line in lines if "Generate" in line)
+    once = got.filter("u <> '1'")._jdf.queryExecution().executedPlan().toString()
+    assert once.count("upper(") == 1
+
+
 def test_amounts_in_text(spark):
     cases = {None: (None, None, False), "": (None, None, False), "N/A": (None, None, False),
              "$80,000 - $100,000": (80000, 100000, False), "1,000 or 250 or 3,000.25": (250, 3000.25, False),
