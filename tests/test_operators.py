@@ -8,6 +8,8 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from hirelake import rules
+from hirelake.functions.text import title_plus_description
 from hirelake.operators import explore, metrics, models, reports
 from hirelake.operators.quantiles import exact_quantiles, ordered_bits
 from hirelake.operators.split import exact_split, label_summary
@@ -221,3 +223,18 @@ def test_a_large_forest_is_fitted_in_parts(spark, tmp_path):
     models.save_models(spark, str(tmp_path), salary=(model, terms))
     again = models.load_models(spark, str(tmp_path))[1][0]
     assert again.transform(postings.withColumns({"flag_0": F.lit(1), "flag_1": F.lit(0)})).select("prediction").collect() == [(r["prediction"],) for r in rows]
+
+
+def test_flags_of_terms_equal_their_patterns(spark):
+    words = ["Go", "GO!", "ſql", "\u212aotlin", "Saß", "SASS", "AGİLE", "agıle", "Agile", "İ", "power", "BI", "node.js", "C#x", "C#", "r", "R2", ".NET", "ASP.NET", "problem", "solving"]
+    rng = random.Random(5)
+    texts = [tuple(rng.choice((" ", "/", ", ")).join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(2)) for _ in range(300)]
+    df = spark.createDataFrame([(i, *pair) for i, pair in enumerate([*texts, (None, "Go"), ("Go", None)])], "id int, title string, description string")
+    terms = ["Go", "SQL", "Kotlin", "sass", "Agile", "Power BI", "Node.js", "C#", "R", ".NET", "Problem Solving"]
+    names = [f"f{i}" for i in range(len(terms))]
+    text = title_plus_description("title", "description")
+    wanted = df.select("*", *[F.coalesce(text.rlike(rules.whole_word(t)), F.lit(False)).cast("int").alias(n) for t, n in zip(terms, names)])
+    got = models.term_flags(df, terms, names)
+    assert got.columns == wanted.columns and sorted(got.collect(), key=lambda r: r.id) == sorted(wanted.collect(), key=lambda r: r.id)
+    assert all(got.agg(F.max(n)).first()[0] == 1 for n in names)
+    assert models.term_flags(df, [], []).columns == df.columns
