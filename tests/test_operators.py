@@ -225,6 +225,27 @@ def test_a_large_forest_is_fitted_in_parts(spark, tmp_path):
     assert again.transform(postings.withColumns({"flag_0": F.lit(1), "flag_1": F.lit(0)})).select("prediction").collect() == [(r["prediction"],) for r in rows]
 
 
+def test_texts_are_taken_apart_once(spark, monkeypatch):
+    """The words of a text are found in one pass that is written, not again for each step of the fit."""
+    written = []
+    plain = models.settle
+    monkeypatch.setattr(models, "settle", lambda df, label: (written.append(label), plain(df, label))[1])
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    texts = ["red apple red", "green apple", "the pear x", "Apple Pie apple pie"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    counted = df.select("i", seen.asNondeterministic()("text").alias("text"))
+    model, features = models.text_features(counted, "text", 50, ["the"], ["i"])
+    again = model.transform(df).select("i", "text_features")
+    assert features.orderBy("i").collect() == again.orderBy("i").collect()
+    assert read.value == len(texts) and {"tokens", "term-counts"} <= set(written)
+
+
 def test_flags_of_terms_equal_their_patterns(spark):
     words = ["Go", "GO!", "ſql", "\u212aotlin", "Saß", "SASS", "AGİLE", "agıle", "Agile", "İ", "power", "BI", "node.js", "C#x", "C#", "r", "R2", ".NET", "ASP.NET", "problem", "solving"]
     rng = random.Random(5)
