@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.session import settle, shared_folder
+from hirelake.session import reachable, settle, shared_folder
 
 __all__ = ["binary", "bounded", "documents", "new_names", "reachable", "settle", "shared_folder", "sorted_runs", "table"]
 
@@ -39,19 +38,6 @@ def new_names(df: DataFrame, *wanted: str) -> list[str]:
     return names
 
 
-def reachable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the library from where the driver has it.
-
-    A cluster gets the library by ``--py-files`` or its image; there nothing is changed.
-    """
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        known = context.environment.get("PYTHONPATH", "")
-        if root not in known.split(os.pathsep):
-            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
-
-
 def bounded(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array] = "text",
             limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, sliced so that ``column`` (a name, or how to get it) holds about ``limit`` bytes in each slice, a row
