@@ -54,8 +54,9 @@ def test_a_fully_grown_tree_gives_the_mean_of_equal_rows(spark):
                 assert tree.predict(x) == pytest.approx(sum(w * y for w, y in same) / sum(w for w, _ in same))
 
 
-def test_depth_and_bins_are_kept_to(spark):
+def test_depth_and_bins_are_kept_to(spark, monkeypatch):
     df = _rows(spark, 300)
+    monkeypatch.setattr(models, "SHALLOW", 0)
     (stage,) = models.fit_forest(df, 2, 3, 7)
     assert [tree.depth for tree in stage.trees] == [3, 3]
     layout = forest.layout_of(df, "salary_features", 5)
@@ -65,6 +66,16 @@ def test_depth_and_bins_are_kept_to(spark):
     assert flat.totalNumNodes == 2 and flat.trees[0].predict(Vectors.dense([0.0] * 5)) == 4.0
 
 
+def test_spark_grows_shallow_trees_only(spark, monkeypatch):
+    df, deep = _rows(spark, 60), []
+    plain = forest.grow_trees
+    monkeypatch.setattr(forest, "grow_trees", lambda *a: (deep.append(a[2]), plain(*a))[1])
+    for depth in (models.SHALLOW, models.SHALLOW + 1):
+        (stage,) = models.fit_forest(df, 2, depth, 7)
+        assert stage.getNumTrees == 2 and stage.getMaxDepth() == depth
+    assert deep == [models.SHALLOW + 1]
+
+
 def test_runs_of_equal_weight_stand_for_many_values():
     rnd = np.random.default_rng(2)
     value = rnd.permutation(np.arange(50_000.0))
